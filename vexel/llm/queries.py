@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vexel.llm.common import Registry
 from vexel.llm.exact import exact_copies
+from vexel.llm.ngramjoin import ngram_jaccard_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +17,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(_table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> Registry:
-    return {f.__name__: f for f in (op9_exact_dedup,)}
+    return {f.__name__: f for f in (op8_ngram_jaccard_join, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
