@@ -60,18 +60,19 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Deletes the tables written by ``settled`` but the last ``keep``; only for when nothing reads them any more."""
-    gone = _WRITTEN[: len(_WRITTEN) - keep]
-    del _WRITTEN[: len(gone)]
+def written() -> list[str]:
+    """The tables that ``settled`` has written so far."""
+    return list(_WRITTEN)
+
+
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes such tables; only for when nothing will read them any more."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in gone:
+    for path in list(paths):
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
-
-
-def mark() -> int:
-    return len(_WRITTEN)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
 
 
 def octets(text: str | Column) -> Column:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vexel.llm.common import Registry
+from vexel.llm.crf import score_quality, train
 from vexel.llm.exact import exact_copies
+from vexel.llm.mix import mix_schedule
 from vexel.llm.ngramjoin import ngram_jaccard_join
+from vexel.llm.pack import pack
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,16 +20,56 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(_table(spark, sf_dir, "documents"))
 
 
+#: The schedule of op1 with its default parameters: 16384 tokens a block, repeats (largest / own) ** 0.3 up to 4, seed 0.
+_MIX = r"""
+    with recursive d as (
+        select doc_id, coalesce(source, chr(1)) s, coalesce(len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')), 0)::bigint n,
+               md5('0:' || coalesce(doc_id::varchar, '')) k from documents),
+    p as (select doc_id, s, n, coalesce(sum(n) over (partition by s order by k, doc_id nulls first, n rows between unbounded preceding and 1 preceding), 0)::bigint pos from d),
+    b as (select s, greatest(1, ceil(sum(n) / 16384.0))::bigint blocks from d group by s),
+    w as (select s, blocks, blocks * least(4.0::double, pow(max(blocks) over () / blocks::double, 1.0::double - 0.7::double)) w from b),
+    x as (select s, blocks, greatest(1, floor(round(w / sum(w) over (), 9) * 4294967296))::bigint points from w),
+    y as (select s, blocks, points, sum(points) over ()::bigint total, row_number() over (order by points desc, s) rn from x),
+    z as (select s, blocks, case when rn = 1 then points + 4294967296 - total else points end points from y),
+    r as (select s, blocks, points, sum(points) over (order by s rows unbounded preceding)::bigint hi from z),
+    slots as (select unnest(range(0, (select max(ceil((blocks + 8) * 4294967296.0 / points))::bigint from r))) slot),
+    drawn as (select slot, s, blocks, row_number() over (partition by s order by slot) - 1 rank
+              from slots join r on (slot + 1) * 2654435769 % 4294967296 >= hi - points and (slot + 1) * 2654435769 % 4294967296 < hi),
+    sched as (select slot, s, rank // blocks epoch, rank % blocks block from drawn where slot <= (select max(slot) from drawn where rank = blocks - 1)),
+    o as (select doc_id, s, n, pos, blocks, least(pos // 16384, blocks - 1) b0, case when n = 0 then least(pos // 16384, blocks - 1) else (pos + n - 1) // 16384 end b1 from p join b using (s)),
+    pieces as (select doc_id, s, n, pos, unnest(range(b0, b1 + 1)) block from o)
+    select slot, nullif(sched.s, chr(1)) source, epoch, sched.block, doc_id, least(n, greatest(0, pieces.block * 16384 - pos)) "start",
+           greatest(0, least(n, (pieces.block + 1) * 16384 - pos) - greatest(0, pieces.block * 16384 - pos)) length
+    from sched join pieces on sched.s = pieces.s and sched.block = pieces.block
+"""
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_schedule(_table(spark, sf_dir, "documents"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are kept, with their quality."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, _table(spark, sf_dir, "labels"))
+    return score_quality(docs, model, cut=model.cut).select("doc_id", "quality")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> Registry:
-    return {f.__name__: f for f in (op8_ngram_jaccard_join, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_best_fit_packing, op4_quality_classifier, op8_ngram_jaccard_join, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_mix_sources": _MIX,
         "op9_exact_dedup": """
             with g as (select text, min(doc_id) keep_id from documents where text is not null and doc_id is not null group by text)
             select distinct g.keep_id, d.doc_id copy_id from documents d join g using (text) where d.doc_id <> g.keep_id
