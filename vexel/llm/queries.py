@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vexel.llm import toxic
+from vexel.llm.chat import rotate
 from vexel.llm.common import Registry
 from vexel.llm.crf import score_quality, train
 from vexel.llm.exact import exact_copies
+from vexel.llm.html import extract
+from vexel.llm.media import embedding_images, media_tiles
 from vexel.llm.mix import mix_schedule
 from vexel.llm.ngramjoin import ngram_jaccard_join
 from vexel.llm.pack import pack
@@ -48,6 +52,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_schedule(_table(spark, sf_dir, "documents"))
 
 
+def op2_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings as images, since no table has any."""
+    return media_tiles(embedding_images(_table(spark, sf_dir, "embeddings")))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -59,17 +68,42 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model, cut=model.cut).select("doc_id", "quality")
 
 
+def op5_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate(_table(spark, sf_dir, "conversations"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxic documents."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxic.toxic_documents(docs, toxic.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> Registry:
-    return {f.__name__: f for f in (op1_mix_sources, op3_best_fit_packing, op4_quality_classifier, op8_ngram_jaccard_join, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_media_tiles, op3_best_fit_packing, op4_quality_classifier, op5_chat_rotation, op6_toxicity, op8_ngram_jaccard_join, op9_exact_dedup, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": _MIX,
+        "op5_chat_rotation": r"""
+            with m as (select conv_id, turn, coalesce(role, 'unknown') r, coalesce(text, '') x from conversations),
+            g as (select conv_id, list({'t': turn, 'r': r, 'x': x} order by turn nulls first, r, x) ms from m group by conv_id),
+            s as (select distinct g.conv_id, m.r speaker, ms from g join m on g.conv_id is not distinct from m.conv_id where m.r <> 'system'),
+            p as (select conv_id, speaker, list_transform(ms, lambda m: {
+                'h': '<|im_start|>' || case when m.r = speaker then 'assistant' when m.r = 'system' then 'system' else 'user name=' || replace(m.r, '<|', '<\|') end || chr(10),
+                'b': replace(m.x, '<|', '<\|') || '<|im_end|>' || chr(10), 'k': case when m.r = speaker then 1 else 0 end}) q from s)
+            select conv_id, speaker, list_reduce(list_transform(q, lambda v: v.h || v.b), lambda a, b: a || b) "text",
+                   flatten(list_transform(q, lambda v: [length(v.h)::int, length(v.b)::int])) lengths, flatten(list_transform(q, lambda v: [0::int, v.k::int])) trained
+            from p
+        """,
         "op9_exact_dedup": """
             with g as (select text, min(doc_id) keep_id from documents where text is not null and doc_id is not null group by text)
             select distinct g.keep_id, d.doc_id copy_id from documents d join g using (text) where d.doc_id <> g.keep_id
