@@ -14,6 +14,7 @@ from vexel.llm.media import embedding_images, media_tiles
 from vexel.llm.mix import mix_schedule
 from vexel.llm.ngramjoin import ngram_jaccard_join
 from vexel.llm.pack import pack
+from vexel.llm.repeats import repeated_passages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +79,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.toxic_documents(docs, toxic.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
@@ -87,7 +92,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> Registry:
-    return {f.__name__: f for f in (op1_mix_sources, op2_media_tiles, op3_best_fit_packing, op4_quality_classifier, op5_chat_rotation, op6_toxicity, op8_ngram_jaccard_join, op9_exact_dedup, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_media_tiles, op3_best_fit_packing, op4_quality_classifier, op5_chat_rotation, op6_toxicity, op7_suffix_array_dedup, op8_ngram_jaccard_join, op9_exact_dedup, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
