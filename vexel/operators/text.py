@@ -64,6 +64,10 @@ def _score(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column) -> Colu
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
+def _occurrences(words: str, term: str) -> Column:
+    return F.size(F.filter(words, lambda x: x == F.lit(term)))
+
+
 def search_index(index: TextIndex, query: str, k: int = DEFAULT_TOP_K) -> DataFrame:
     """(id, score) from a built index, best first, ties by id; only documents with a term of the query."""
     terms = query_terms(query)
@@ -82,7 +86,7 @@ def bm25(df: DataFrame, query: str, k: int = DEFAULT_TOP_K, filter: str | Node |
     terms = query_terms(query)
     docs = select_rows(df, filter, as_of).select(F.col(id).alias("id"), tokens(text).alias("tk")).filter(F.size("tk") > 0)
     # A count for each term, by position: array work stays in one row and nothing is exploded.
-    counted = docs.select("id", F.size("tk").alias("dl"), *(F.size(F.filter("tk", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(terms)))
+    counted = docs.select("id", F.size("tk").alias("dl"), *(_occurrences("tk", t).alias(f"tf{i}") for i, t in enumerate(terms)))
     totals = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     rows = counted.filter(" or ".join(f"tf{i} > 0" for i in range(len(terms))) or "false").crossJoin(F.broadcast(totals))
     score = F.lit(0.0)

@@ -5,6 +5,7 @@ Each runs over its whole tables. A limit is there only where it is the feature:
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -110,7 +111,7 @@ def range_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _joined(metric: str) -> str:
-    pair = _D[metric].format(q="q.embedding::double[]").replace("embedding::double[], q", "e.embedding::double[], q").replace("(embedding::double[], embedding::double[])", "(e.embedding::double[], e.embedding::double[])")
+    pair = re.sub(r"(?<![\w.])embedding", "e.embedding", _D[metric].format(q="q.embedding::double[]"))
     return f"select query_id, id, distance, rank::int rank from (select q.vec_id query_id, e.vec_id id, {pair} distance, row_number() over (partition by q.vec_id order by {pair}, e.vec_id) rank from embeddings e, embeddings q) where rank <= 10"
 
 
