@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,6 +120,19 @@ def batches_of(stream: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
+def slices(batch: pa.RecordBatch, text: str, most_bytes: int, most_rows: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of at most so many rows and, unless a row alone has more, bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_pylist()
+    at = held = 0
+    for i, size in enumerate(sizes):
+        if i > at and (held + size > most_bytes or i - at >= most_rows):
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += size
+    if len(sizes) > at:
+        yield batch.slice(at)
+
+
 def temp_dir() -> str:
     """A task's own scratch folder, in Spark's local directories where they are known; the task removes it."""
     roots = [r for r in (os.environ.get("SPARK_LOCAL_DIRS") or os.environ.get("LOCAL_DIRS") or "").split(",") if r]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vexel.llm.common import by_value, need
+from vexel.llm.common import by_value, need, slices
 from vexel.llm.textnum import LOWER, SPACE, WORD, joined, span_hashes, spans
 
 by_value(__name__, "vexel.llm.common", "vexel.llm.textnum")
@@ -34,6 +34,8 @@ TOXIC_MARKS, PLAIN_MARKS = 24, 24
 WINDOW, STRIDE = 24, 12
 #: A witness must be in so many distinct toxic sentences, and so many times as frequent there as elsewhere.
 LEAST, RATIO = 4, 12.0
+#: Text that is scored in one go, to bound a task's memory.
+BATCH_BYTES = 2 << 20
 #: The cut is not below this.
 LOWEST = 0.25
 
@@ -112,7 +114,7 @@ def by_length(letters: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tup
         if not len(some):
             continue
         i, j, k, w = _triples(length)
-        step = max(1, 2_000_000 // len(i))
+        step = max(1, 500_000 // len(i))
         for q in range(0, len(some), step):
             part = some[q : q + step]
             x = symbols[a[part][:, None] + np.arange(length)]
@@ -155,11 +157,11 @@ def features(words: list[bytes], marks: list[bytes]) -> np.ndarray:
     out = np.zeros((len(words), len(marks)))
     letters, a, b = _explicit(words)
     for part, code, w in by_length(letters, a, b):
-        for q in range(0, len(part), 2000):
-            c = code[q : q + 2000]
+        for q in range(0, len(part), 400):
+            c = code[q : q + 400]
             cell = at[c] + np.arange(len(c))[:, None] * (len(known) + 1)
             x = np.bincount(cell.ravel(), weights=np.broadcast_to(w, c.shape).ravel(), minlength=len(c) * (len(known) + 1)).reshape(len(c), -1)
-            out[part[q : q + 2000]] = x @ z.T / np.sqrt(self_kernel(c, w))[:, None]
+            out[part[q : q + 400]] = x @ z.T / np.sqrt(self_kernel(c, w))[:, None]
     return out
 
 
@@ -336,8 +338,7 @@ def toxic_documents(docs: DataFrame, machine: Machine | None, text: str = "text"
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = machine.table() if machine else None
         for whole in stream:
-            for i in range(0, whole.num_rows if machine else 0, 5000):
-                batch = whole.slice(i, 5000)
+            for batch in slices(whole, "body", BATCH_BYTES, 5000) if machine else ():
                 score, n = document_scores(machine, table, batch.column("body"))
                 bad = np.flatnonzero(n > 0)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(bad)), pa.array(score[bad]), pa.array(n[bad].astype(np.int64))], names=["doc_id", "score", "n_toxic"])
