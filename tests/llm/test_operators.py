@@ -180,6 +180,22 @@ def test_toxicity_on_held_out_documents(spark):
     assert np.mean([d in got for d in bad]) >= 0.9 and np.mean([d in got for d in fine]) <= 0.02
 
 
+def test_rare_insults_are_learned_beside_frequent_ones():
+    rng = np.random.default_rng(5)
+    syllables = [f"{a}{b}" for a in "bdfgklmnprst" for b in "aeiou"]
+    words = ["".join(rng.choice(syllables, 3)) for _ in range(400)]
+    plain = lambda: list(rng.choice(words, 30))
+
+    def insulted(insults, count):
+        return [" ".join(np.insert(np.array(plain(), dtype=object), int(rng.integers(30)), list(rng.choice(insults, 2, replace=False)))) for _ in range(count)]
+
+    often, rare = ["wretchy", "quizzolf", "vexhumpy"], ["xyvvocha", "hjuxqwys"]
+    texts = insulted(often, 120) + insulted(rare, 12) + [" ".join(plain()) for _ in range(800)]
+    machine = toxic.fit(texts, np.arange(len(texts)) < 132)
+    found = lambda texts: float(np.mean(toxic.document_scores(machine, machine.table(), texts)[1] > 0))
+    assert found(insulted(often, 30)) == 1 and found(insulted(rare, 30)) == 1 and found([" ".join(plain()) for _ in range(200)]) <= 0.02
+
+
 def test_kernel_is_that_of_all_subsequences():
     def raw(s, t):
         w = lambda u: [(tuple(u[i] for i in c), toxic.DECAY ** (c[2] - c[0] + 1)) for c in itertools.combinations(range(len(u)), 3)]

@@ -4,15 +4,17 @@ The kernel counts common subsequences of letters, each weighted down by the leng
 it spans, so letters put in between or left out cost little. A sentence is a bag of
 units (its words without punctuation, and its runs of single letters); the machine
 scores units, and a sentence has the score of its worst. It is trained on the
-sentences of labelled documents: in a toxic one the unit that tells most is the
-witness, while all units of the others are harmless.
+sentences of labelled documents: witnesses are the units that toxic documents have
+significantly more often, while the units of the others are harmless. As harmless
+text has some units like witnesses by chance, a document is called toxic only if it
+has more of them than its length explains.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,10 @@ TOXIC_MARKS, PLAIN_MARKS = 24, 24
 WINDOW, STRIDE = 24, 12
 #: A witness must be in so many distinct toxic sentences, and so many times as frequent there as elsewhere.
 LEAST, RATIO = 4, 12.0
+#: Share of witnesses that may be chance.
+FALSE = 0.05
+#: Each witness has a landmark of at least this kernel with it.
+ALIKE = 0.9
 #: Text that is scored in one go, to bound a task's memory.
 BATCH_BYTES = 2 << 20
 #: The cut is not below this.
@@ -167,12 +173,20 @@ def features(words: list[bytes], marks: list[bytes]) -> np.ndarray:
 
 @dataclass
 class Machine:
-    """marks: landmarks. weight: of the normalised kernel with each, Nyström map and hyperplane in one."""
+    """marks: landmarks, the first ``toxic`` of them witnesses. weight: of the normalised kernel with each, Nyström map and hyperplane in one.
+
+    usual: the values above the cut of units of harmless documents, rising, for the witness each is most like; ``calm`` such
+    units were read in all. enough: the evidence a toxic document has at least.
+    """
 
     marks: list[bytes]
     weight: np.ndarray
     bias: float
+    toxic: int = 0
     cut: float = 0.0
+    usual: list[np.ndarray] = field(default_factory=list)
+    calm: int = 1
+    enough: float = 0.0
 
     def table(self) -> np.ndarray:
         """The machine as a weight of every subsequence of three letters: the kernel with all landmarks summed up at once."""
@@ -201,6 +215,32 @@ def score_units(machine: Machine, table: np.ndarray, letters: np.ndarray, a: np.
     return out
 
 
+def _significant(pos: np.ndarray, total: np.ndarray, share: float) -> np.ndarray:
+    """Which words are in more toxic texts than chance gives them, each by the binomial tail of its own counts, at a false discovery rate of FALSE."""
+    pairs, inv, many = np.unique(np.column_stack((pos, total)), axis=0, return_inverse=True, return_counts=True)
+    logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, total.max() + 1)))))
+    tail = np.empty(len(pairs))
+    for r, (x, n) in enumerate(pairs):
+        i = np.arange(x, n + 1)
+        tail[r] = np.exp(logs[n] - logs[i] - logs[n - i] + i * np.log(share) + (n - i) * np.log1p(-share)).sum()
+    order = np.argsort(tail, kind="stable")
+    rank = np.cumsum(many[order])
+    fits = np.flatnonzero(tail[order] * len(pos) <= FALSE * rank)
+    good = np.zeros(len(pairs), dtype=bool)
+    good[order[: fits[-1] + 1 if len(fits) else 0]] = True
+    return good[inv.ravel()]
+
+
+def _landmarks(words: list[bytes]) -> list[bytes]:
+    """At least TOXIC_MARKS of the words, the first one and then always the one least like those taken, until each is like one of them."""
+    like = features(words, words[:1])[:, 0]
+    marks = words[:1]
+    while len(marks) < len(words) and (len(marks) < TOXIC_MARKS or like.min() < ALIKE):
+        marks.append(words[int(np.argmin(like))])
+        like = np.maximum(like, features(words, marks[-1:])[:, 0])
+    return marks
+
+
 def fit(texts: list[str], toxic: np.ndarray, seed: int = 0) -> Machine | None:
     """Trains on whole texts with a label each; None if they don't tell, as with labels of one kind."""
     letters, a, b, text, sent = units(texts)
@@ -232,11 +272,11 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 0) -> Machine | None:
     pos, neg = spread(ls), spread(~ls)
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     odds = ((pos + 0.5) / n1) / ((neg + 0.5) / n0)
-    witness = (pos >= LEAST) & (odds >= RATIO)
+    suspect = odds >= RATIO
+    # Rare words of high odds can be chance, so each is judged by its own counts, however frequent other words are.
+    witness = suspect & (pos >= LEAST) & _significant(pos, pos + neg, n1 / (n1 + n0))
     if not witness.any():
         return None
-    # Only witnesses nearly as frequent as the usual one: rarer ones are chance.
-    witness &= pos >= 0.25 * np.median(np.sort(pos[witness])[-5:])
     first = us[at]
 
     def spelt(which: np.ndarray) -> list[bytes]:
@@ -246,13 +286,14 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 0) -> Machine | None:
     bad_units = np.flatnonzero(witness)
     bad_units = bad_units[np.argsort(-pos[bad_units], kind="stable")]
     bad_words = spelt(bad_units)
-    plain = np.flatnonzero((neg > 0) & ~witness)
+    # A suspect may be an insult too rare to prove, so it isn't an example of either kind.
+    plain = np.flatnonzero((neg > 0) & ~suspect)
     plain_words = spelt(plain)
-    marks_bad = bad_words[:TOXIC_MARKS]
+    marks_bad = _landmarks(bad_words)
     # Plain landmarks are the units most like the toxic ones, and these with others by chance are the plain examples.
     near = features(plain_words, marks_bad).max(axis=1)
     order = np.argsort(-near, kind="stable")
-    marks = marks_bad + [plain_words[i] for i in order[:PLAIN_MARKS]]
+    marks = marks_bad + [plain_words[i] for i in order[: max(PLAIN_MARKS, len(marks_bad))]]
     some = np.unique(np.concatenate((order[:6000], rng.choice(len(plain), min(len(plain), 6000), replace=False))))
     plain_words = [plain_words[i] for i in some]
     # Toxic units also with a letter put in or doubled, as people write them to get by.
@@ -268,16 +309,33 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 0) -> Machine | None:
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
     phi = features(bad_words + varied + plain_words, marks) @ root
     w, bias = _hinge(phi, y, rng)
-    machine = Machine(marks, root @ w, bias)
+    machine = Machine(marks, root @ w, bias, len(marks_bad))
     # The cut: where two in a thousand harmless documents would be lost, but not beyond half of what plain insults get.
     value = np.full(len(texts), -9.0)
-    np.maximum.at(value, text, _by_distinct(machine, machine.table(), letters, a, b, h, -np.inf))
+    each = _by_distinct(machine, machine.table(), letters, a, b, h, -np.inf)
+    np.maximum.at(value, text, each)
     calm = np.sort(value[~toxic])
     least = float(np.quantile(phi[: len(bad_words)] @ w + bias, 0.05))
     machine.cut = float(max(LOWEST, min(calm[int(0.998 * (len(calm) - 1))] + 0.02, 0.6 * least)))
+    # How often harmless documents have units as bad as that, and the evidence that tells most labelled documents right.
+    found = _hits(machine, each, letters, a, b, text, h)
+    off = ~toxic[found.text]
+    machine.usual = [np.sort(found.value[off & (found.mark == k)]) for k in range(machine.toxic)]
+    size = _distinct_units(text, h, len(texts))
+    machine.calm = max(1, int(size[~toxic].sum()))
+    proof = _evidence(machine, found, size)
+    machine.enough = _parting(proof[toxic], proof[~toxic])
     return machine
 
 
+def _parting(high: np.ndarray, low: np.ndarray) -> float:
+    """The value above which the fewest of both are on the wrong side; the middle of the gap there, the highest of equals."""
+    at = np.unique(np.concatenate((high, low)))
+    wrong = np.searchsorted(np.sort(high), at, side="right") + len(low) - np.searchsorted(np.sort(low), at, side="right")
+    i = len(at) - 1 - int(np.argmin(wrong[::-1]))
+    return float(at[i] if i + 1 == len(at) else (at[i] + at[i + 1]) / 2)
+
+
 def _hinge(phi: np.ndarray, y: np.ndarray, rng, rounds: int = 400, c: float = 1e-4) -> tuple[np.ndarray, float]:
     """Linear support vector machine: squared hinge loss, classes of equal weight, by accelerated gradient descent."""
     x = np.column_stack((phi, np.ones(len(phi))))
@@ -300,15 +358,58 @@ def _by_distinct(machine: Machine, table: np.ndarray, letters: np.ndarray, a: np
     return score_units(machine, table, letters, a[at], b[at], above)[inv]
 
 
+@dataclass
+class Hits:
+    """Units above the cut, different ones within a text: (text, value, the witness among the landmarks it is most like)."""
+
+    text: np.ndarray
+    value: np.ndarray
+    mark: np.ndarray
+
+
+def _hits(machine: Machine, value: np.ndarray, letters: np.ndarray, a: np.ndarray, b: np.ndarray, text: np.ndarray, h: np.ndarray) -> Hits:
+    i = np.flatnonzero(value > machine.cut)
+    i = i[np.unique(np.column_stack((text[i].astype(np.uint64), h[i])), axis=0, return_index=True)[1]]
+    _, at, inv = np.unique(h[i], return_index=True, return_inverse=True)
+    words = [letters[a[k] : b[k]].tobytes() for k in i[at]]
+    mark = features(words, machine.marks[: machine.toxic]).argmax(axis=1) if words else np.zeros(0, dtype=np.int64)
+    return Hits(text[i], value[i], mark[inv])
+
+
+def _distinct_units(text: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(np.unique(np.column_stack((text.astype(np.uint64), h)), axis=0)[:, 0].astype(np.int64), minlength=n)
+
+
+def _evidence(machine: Machine, hits: Hits, size: np.ndarray) -> np.ndarray:
+    """How far each text has more bad units than chance: the most over j of the Chernoff exponent of a Poisson law, for its j worst units and the rate harmless text has of such."""
+    out = np.zeros(len(size))
+    if not len(hits.text):
+        return out
+    rate = np.empty(len(hits.text))
+    for k in range(machine.toxic):
+        own = hits.mark == k
+        usual = machine.usual[k]
+        rate[own] = (len(usual) - np.searchsorted(usual, hits.value[own], side="left") + 0.5) / machine.calm
+    order = np.lexsort((rate, hits.text))
+    text, rate = hits.text[order], rate[order]
+    begins = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
+    j = np.arange(len(text)) - np.repeat(begins, np.diff(np.append(begins, len(text)))) + 1
+    mean = size[text] * rate
+    np.maximum.at(out, text, np.where(j > mean, j * np.log(j / mean) - j + mean, 0.0))
+    return out
+
+
 def document_scores(machine: Machine, table: np.ndarray, texts) -> tuple[np.ndarray, np.ndarray]:
-    """(the highest score of each text's sentences, exact if above the cut; the number of sentences above the cut)."""
+    """(the highest score of each text's sentences, exact if above the cut; the number of sentences above the cut, none in a text of too little evidence)."""
     letters, a, b, text, sent = units(texts)
     score, number = np.full(len(texts), -9.0), np.zeros(len(texts), dtype=np.int64)
     if not len(a):
         return score, number
-    value = _by_distinct(machine, table, letters, a, b, unit_hashes(letters, a, b), machine.cut)
+    h = unit_hashes(letters, a, b)
+    value = _by_distinct(machine, table, letters, a, b, h, machine.cut)
     np.maximum.at(score, text, value)
-    hit = value > machine.cut
+    proven = _evidence(machine, _hits(machine, value, letters, a, b, text, h), _distinct_units(text, h, len(texts))) > machine.enough
+    hit = (value > machine.cut) & proven[text]
     if hit.any():
         pairs = np.unique(np.column_stack((text[hit], sent[hit])), axis=0)
         number = np.bincount(pairs[:, 0], minlength=len(texts))
@@ -325,7 +426,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
 
 def toxic_documents(docs: DataFrame, machine: Machine | None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, score, n_toxic): the documents with a toxic sentence, the score of the worst and the number of such sentences.
+    """(doc_id, score, n_toxic): the documents with a toxic sentence and more bad units than chance gives, the score of the worst and the number of such sentences.
 
     Null, empty and wordless texts are never toxic; nor is anything without a machine. Whole texts are read, long words in
     overlapping windows. Null ids are passed on, repeated rows give a row each. An empty table gives an empty one; extra
