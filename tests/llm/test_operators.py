@@ -291,6 +291,25 @@ def test_blocks_and_their_labels():
     assert html.inherit([None, True, None, None, None, False, None]) == [True, True, True, True, False, False, False] and html.inherit([None]) == [False]
 
 
+@pytest.mark.parametrize(
+    "para",
+    [
+        "Rain fell on the valley while farmers moved cattle toward higher ground near old stone walls.",
+        "Regen fiel auf das Tal, während Bauern ihre Tiere nach oben trieben und alte Mauern Schutz boten.",
+        "Pluie fine sur la vallée pendant que paysans poussaient leurs bêtes vers collines plus hautes.",
+        "Lluvia fina caía sobre el valle mientras campesinos llevaban animales hacia colinas más altas.",
+    ],
+)
+def test_articles_of_short_or_middling_paragraphs_survive(para):
+    for body in (para, para * 4):
+        page = f"<ul><li><a href='/'>Home</a></li></ul><p>{body}</p><p>{body}</p><div><a href='/x'>Imprint</a></div>"
+        assert html.main_text(page) == (f"{body}\n{body}", 4, 2)
+    lines = para.replace(" ", "\n", 8).replace("\n", " ", 7).split("\n")
+    assert html.main_text("<ul><li><a href='/'>Home</a></li></ul>" + "".join(f"<p>{x}</p>" for x in lines) + "<p>© 2020</p>") == ("\n".join(lines), 4, 2)
+    names = " | ".join(["Meridian", "Falstaff", "Quorum", "Bastion"] * 8)
+    assert html.main_text(f"<p>{names}</p>")[2] == 0 and None not in [html.decide(w * n, 0) for w in (para, names) for n in (1, 3, 9)]
+
+
 # --- 5
 
 

@@ -2,6 +2,7 @@
 
 Pass one labels each block by link density, length and stop-word density; pass two
 gives the blocks that are too short to tell the label of the nearest decided one.
+Only blocks below SHORT characters may be left to pass two.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from vexel.llm.common import by_value, need
 
 by_value(__name__)
 
-SHORT, LONG = 70, 200
-STOP_LOW, STOP_HIGH = 0.22, 0.30
+SHORT = 70
+#: Share of function words from which a block is prose: paragraphs of each language have more, lists and names less.
+PROSE = 0.10
 LINKS = 0.2
 
 #: Function words of English, German, French and Spanish.
@@ -82,16 +84,31 @@ def blocks(html: str) -> list[tuple[str, int]]:
 
 
 def decide(text: str, linked: int) -> bool | None:
-    """Pass one: good, bad, or None for a block too short or too mixed to tell."""
+    """Pass one: good, bad, or None for a block too short to tell."""
     if linked > LINKS * len(text) or "©" in text:
         return False
     if len(text) < SHORT:
         return False if linked else None
+    return prose(text)
+
+
+def prose(text: str) -> bool:
     found = WORDS.findall(text.lower())
-    density = sum(w in STOP for w in found) / max(1, len(found))
-    if density >= STOP_HIGH:
-        return True if len(text) > LONG else None
-    return None if density >= STOP_LOW else False
+    return sum(w in STOP for w in found) >= PROSE * max(1, len(found))
+
+
+def together(texts: list[str], labels: list[bool | None]) -> list[bool | None]:
+    """On a page without a good block, runs of blocks too short to tell are judged as one, if they are long enough that way."""
+    out, i = list(labels), 0
+    while True not in labels and i < len(out):
+        j = i
+        while j < len(out) and labels[j] is None:
+            j += 1
+        run = " ".join(texts[i:j])
+        if len(run) >= SHORT:
+            out[i:j] = [prose(run)] * (j - i)
+        i = j + 1
+    return out
 
 
 def inherit(labels: list[bool | None]) -> list[bool]:
@@ -123,7 +140,7 @@ def main_text(html: str | None) -> tuple[str | None, int, int]:
     if html is None:
         return None, 0, 0
     found = blocks(html)
-    good = inherit([decide(*b) for b in found])
+    good = inherit(together([t for t, _ in found], [decide(*b) for b in found]))
     kept = [t for (t, _), g in zip(found, good, strict=True) if g]
     return "\n".join(kept), len(found), len(kept)
 
