@@ -291,6 +291,18 @@ def test_blocks_and_their_labels():
     assert html.inherit([None, True, None, None, None, False, None]) == [True, True, True, True, False, False, False] and html.inherit([None]) == [False]
 
 
+@pytest.mark.parametrize("start", ["<body>", "", "<header></header>"])
+def test_unclosed_head_and_select_end_where_they_must(start):
+    para = "This is the text of an article that was written for the readers of the page and it is long. "
+    want = " ".join((para * 3).split())
+    head = "<html><head><meta charset='utf-8'><title>t</title><script>var a = '<p>';</script><!-- <body> -->"
+    for page in (f"{head}{start}<p>{para * 3}", f"{head}</head>{start}<p>{para * 3}", f"<html><head><title>t</title>{start}{para * 3}", f"<head><title>t{start}<p>{para * 3}", f"<head-line>{start}{para * 3}</head-line>"):
+        assert html.main_text(page) == (want, 1, 1)
+    menu = "<select><option>One<option>Two"
+    assert html.main_text(f"{start}{menu}<p>{para * 3}") == html.main_text(f"{start}{menu}</select><p>{para * 3}") == (want, 1, 1)
+    assert html.main_text(f"{menu}<p>{para * 3}<select><option>x</select>") == html.main_text(f"<select><div>x</div></select><p>{para * 3}") == (want, 1, 1)
+
+
 @pytest.mark.parametrize(
     "para",
     [

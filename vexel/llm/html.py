@@ -35,10 +35,14 @@ STOP = frozenset(
 )
 BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|head|select)\b[^<>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe)\b[^<>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*)(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*>|<(/?)([a-z][a-z0-9:-]*)[^<>]*>|<[!?][^<>]*>",
     re.DOTALL | re.IGNORECASE,
 )
+#: What a head may hold, and what a select may hold; another tag (in a select, another block) ends one that wasn't closed.
+IN_HEAD = frozenset("base basefont bgsound head html link meta title".split())
+IN_SELECT = frozenset("option optgroup hr".split())
+SELECT_END = re.compile(r"<(/?)select\b", re.IGNORECASE)
 WORDS = re.compile(r"\w+")
 
 
@@ -48,6 +52,7 @@ def blocks(html: str) -> list[tuple[str, int]]:
     parts: list[str] = []
     linked = at = 0
     link = False
+    inside = ""  # "head", "title" in a head, "select", or "closed" in a select that has its end tag
 
     def flush() -> None:
         nonlocal linked
@@ -59,8 +64,10 @@ def blocks(html: str) -> list[tuple[str, int]]:
         linked = 0
 
     def say(raw: str) -> None:
-        nonlocal linked
-        if raw:
+        nonlocal linked, inside
+        if inside == "head" and raw.strip():
+            inside = ""
+        if raw and not inside:
             text = unescape(raw)
             parts.append(text)
             if link:
@@ -70,10 +77,28 @@ def blocks(html: str) -> list[tuple[str, int]]:
         say(html[at : m.start()])
         at = m.end()
         name = (m[3] or m[5] or "").lower()
+        shuts = bool(m[2] or m[4])
+        if inside in ("head", "title") and name:
+            if name == "head" and shuts or name not in IN_HEAD:
+                inside = ""
+            elif name == "title":
+                inside = "head" if shuts else "title"
+        elif inside and (name == "select" and shuts or inside == "select" and name in BLOCK and name not in IN_SELECT):
+            inside = ""
+        if inside:
+            continue
         if m[1]:
-            flush() if m[1].lower() in ("head", "select") else None
+            pass
+        elif name == "head" and not shuts:
+            flush()
+            inside = "head"
+        elif name == "select":
+            flush()
+            if not shuts:
+                end = SELECT_END.search(html, at)
+                inside = "closed" if end and end[1] else "select"
         elif name == "a":
-            link = not (m[2] or m[4])
+            link = not shuts
         elif name in BLOCK:
             flush()
             if name != "br":
@@ -149,7 +174,8 @@ def extract(pages: DataFrame, html: str = "html", page_id: str = "page_id", url:
     """(page_id, url, text, n_blocks, n_good): one row for each page.
 
     A null page has null text, an empty one or one without a good block empty text. Broken markup is read as far as
-    it can be: an unclosed tag is text, an unclosed comment or script runs to the end. Whole pages are read, however
+    it can be: an unclosed tag is text; an unclosed comment, script, style, noscript, template, svg, math or iframe runs to the
+    end, but an unclosed head or select only as far as it can. Whole pages are read, however
     long. Null ids and urls are passed on; repeated rows are extracted each. An empty table gives an empty one; extra
     columns are not read.
     """
