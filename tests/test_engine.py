@@ -1,5 +1,6 @@
 """The engine's queries against DuckDB, and its operators on small tables."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,25 @@ def test_tiled_join_is_the_sent_join(spark):
     assert sorted(map(tuple, a.select("query_id", "id", "distance", "rank").collect())) == sorted(map(tuple, b.select("query_id", "id", "distance", "rank").collect()))
 
 
+@pytest.mark.parametrize("metric", ["l2", "inner_product", "cosine"])
+def test_join_keeps_the_least_ids_of_many_copies(spark, metric):
+    rng = np.random.default_rng(3)
+    one, ids = [0.1, 0.7, 0.3], rng.permutation(300).tolist()
+    base = [(i, one if n < 100 else [-v for v in rng.uniform(0, 1, 3).tolist()]) for n, i in enumerate(ids)]
+    rows = spark.createDataFrame(base, "id long, vector array<double>").coalesce(1)
+    asked = spark.createDataFrame([(7, one), (8, [0.2, 0.6, 0.3])], "query_id long, query_vector array<double>")
+    for got in (search.knn_join(rows, asked, 10, metric), search.knn_join(rows, asked, 10, metric, sent=1, tiles=1)):
+        found = {(r["query_id"], r["rank"]): r["id"] for r in got.collect()}
+        assert [found[q, n] for q in (7, 8) for n in range(1, 11)] == sorted(ids[:100])[:10] * 2
+
+
+def test_nearest_of_near_copies_with_large_norms():
+    rng = np.random.default_rng(4)
+    x = 1e7 + rng.permutation(500)[:, None] * 1e-3 * np.ones(8)
+    row, got, d = search._nearest(x, np.arange(500), np.full((1, 8), 1e7), 10, "l2")
+    assert got.tolist() == np.argsort(x[:, 0])[:10].tolist()
+
+
 @pytest.mark.parametrize("count, kind", [(9_999, "flat"), (10_000, "hnsw"), (499_999, "hnsw"), (500_000, "ivf_sq"), (1_000_000, "ivf_turboquant"), (100_000_000, "ivf_turboquant")])
 def test_index_choice(count, kind):
     assert resolve("auto", count, 128, "l2").type.value == kind

@@ -67,20 +67,38 @@ def _matrix(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
     return flat.reshape(-1, n).astype(np.float64)
 
 
+def _bounds(x: np.ndarray, q: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """(least, most): between these is the distance of every row of q and of x, whatever matrix products lose to rounding."""
+    rough = pairwise(x, q, metric)
+    xx, qq = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
+    u = 4 * (x.shape[1] + 8) * np.finfo(np.float64).eps
+    if metric == "l2":
+        square, lost = rough * rough, u * (qq[:, None] + xx[None]) ** 2
+        return np.sqrt(np.maximum(square - lost, 0)), np.sqrt(square + lost)
+    lost = u * qq[:, None] * xx[None] if metric == "inner_product" else u
+    return rough - lost, rough + lost
+
+
 def _nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, rounded distance) of the k nearest rows of each query; by matrix products, then exactly for a few more than k."""
+    """(query row, id, rounded distance) of the k nearest rows of each query; by matrix products, then exactly for all that can be among them, ties included."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    more = min(len(x), k + 16)
-    step = max(1, (1 << 22) // max(1, len(x)))
+    step, pairs = max(1, (1 << 22) // max(1, len(x))), max(1, (1 << 22) // max(1, x.shape[1]))
     for i in range(0, len(q), step):
         part = q[i : i + step]
-        rough = pairwise(x, part, metric)
-        pick = np.argpartition(rough, more - 1, axis=1)[:, :more] if more < len(x) else np.tile(np.arange(len(x)), (len(part), 1))
-        d = np.floor(exact(x[pick], part[:, None], metric) * 10**DIGITS + 0.5) / 10**DIGITS
+        least, most = _bounds(x, part, metric)
+        if k < len(x):
+            # Distances that round alike differ by less than one unit of the last digit.
+            limit = np.partition(most, k - 1, axis=1)[:, k - 1 : k] + 1.5 * 10.0**-DIGITS
+            row, pick = np.nonzero(~(least > limit))
+        else:
+            row, pick = np.repeat(np.arange(len(part)), len(x)), np.tile(np.arange(len(x)), len(part))
+        d = np.concatenate([exact(x[pick[j : j + pairs]], part[row[j : j + pairs]], metric) for j in range(0, max(1, len(row)), pairs)])
+        d = np.floor(d * 10**DIGITS + 0.5) / 10**DIGITS
         own = ids[pick]
-        order = np.lexsort((own, d), axis=1)[:, :k]
-        rows = np.repeat(np.arange(i, i + len(part)), order.shape[1])
-        out.append((rows, np.take_along_axis(own, order, 1).ravel(), np.take_along_axis(d, order, 1).ravel()))
+        order = np.lexsort((own, d, row))
+        begins = np.searchsorted(row, np.arange(len(part)))
+        order = order[np.arange(len(order)) - begins[row] < k]
+        out.append((row[order] + i, own[order], d[order]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))  # type: ignore[return-value]
 
 
