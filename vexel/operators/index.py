@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vexel.functions.distance import pairwise
-from vexel.operators.search import DIGITS, _matrix, knn, select_rows
+from vexel.functions.distance import distance, pairwise
+from vexel.operators.search import DIGITS, _matrix, _nearest, knn, ranked, select_rows
 from vexel.plans.filters import Node
 from vexel.types import DEFAULT_TOP_K, IndexType, InvalidArgument, Metric, check_dimension, check_top_k
 
@@ -229,25 +229,30 @@ class RotationCodec:
 
     def inner(self, codes: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(estimated inner product with q, length) of each row; the query isn't quantised."""
+        g, length = self.inners(codes, q[None])
+        return g[0], length
+
+    def inners(self, codes: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of q x rows of codes, length of each row)."""
         length, y, rest = self._read(codes)
-        turned = self.rotate(q[None])[0]
-        g = y @ turned
+        turned = self.rotate(q)
+        g = turned @ y.T
         if self.qjl:
             size = np.ascontiguousarray(rest[:, :4]).view("<f4").ravel().astype(np.float64)
             sign = np.unpackbits(rest[:, 4:], axis=1)[:, : self.projections] * 2.0 - 1
-            g = g + math.sqrt(math.pi / 2) / self.projections * size * (sign @ (self.matrix @ turned))
+            g = g + math.sqrt(math.pi / 2) / self.projections * size * (turned @ self.matrix.T @ sign.T)
         return g * length, length
 
 
 Codec = ScalarCodec | ProductCodec | RotationCodec
 
 
-def estimate(codec: Codec, codes: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
-    """Distances from codes, under the same contract as exact ones."""
+def estimates(codec: Codec, codes: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """rows of q x rows of codes: distances from codes, under the same contract as exact ones."""
     if not isinstance(codec, RotationCodec):
-        return pairwise(codec.decode(codes), q[None], metric)[0]
-    g, length = codec.inner(codes, q)
-    nq = math.sqrt(float(q @ q))
+        return pairwise(codec.decode(codes), q, metric)
+    g, length = codec.inners(codes, q)
+    nq = np.sqrt((q * q).sum(axis=1))[:, None]
     if metric == "inner_product":
         return -g
     if metric == "l2":
@@ -257,6 +262,10 @@ def estimate(codec: Codec, codes: np.ndarray, q: np.ndarray, metric: str) -> np.
     return np.where((length < 1e-8) | (nq < 1e-8), 2.0, cos)
 
 
+def estimate(codec: Codec, codes: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    return estimates(codec, codes, q[None], metric)[0]
+
+
 def _sample(df: DataFrame, vector: str, n: int, rows: int) -> np.ndarray:
     """At most ``rows`` vectors, those of the least hash, the same whatever the partitions."""
     got = df.select(F.col(vector).alias("v")).orderBy(F.xxhash64("v")).limit(rows).toArrow()
@@ -312,6 +321,51 @@ def quantised_knn(df: DataFrame, codec: Codec, query: Sequence[float], k: int =
     return knn(chosen, query, k, metric, id=id, vector=vector)
 
 
+def _join(left: DataFrame, right: DataFrame, by: list[str], codec: Codec | None, n: int, k: int, metric: Metric, rescore: int) -> DataFrame:
+    """(query_id, id, distance, rank) over the groups both sides share: left has id, vector and code, right query_id and query_vector."""
+    want = k * rescore if codec is not None and rescore else k
+    name = metric.value
+
+    def tile(x: pa.Table, q: pa.Table) -> pa.Table:
+        if not len(x) or not len(q):
+            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+        ids, asked, qid = x.column("id").to_numpy(), _matrix(q.column("query_vector"), n), q.column("query_id").to_numpy()
+        if codec is None:
+            row, own, d = _nearest(_matrix(x.column("vector"), n), ids, asked, want, name)
+            return pa.table({"query_id": qid[row], "id": own, "distance": d})
+        codes = np.frombuffer(b"".join(x.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
+        parts, step = [], max(1, (1 << 21) // len(x))
+        for i in range(0, len(asked), step):
+            d = np.round(estimates(codec, codes, asked[i : i + step], name), DIGITS)
+            # All ties at the last place stay until ids decide.
+            limit = np.partition(d, want - 1, axis=1)[:, want - 1 : want] if want < len(x) else np.inf
+            row, pick = np.nonzero(~(d > limit))
+            own, d = ids[pick], d[row, pick]
+            order = np.lexsort((own, d, row))
+            order = order[np.arange(len(order)) - np.searchsorted(row, row) < want]
+            parts.append((qid[i + row[order]], own[order], d[order]))
+        return pa.table(dict(zip(("query_id", "id", "distance"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+
+    held = left.select("id", "vector" if codec is None else "code", *by)
+    found = ranked(held.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(tile, "query_id long, id long, distance double"), "query_id", want)
+    if codec is None or not rescore:
+        return found
+    vectors = left.select("id", "vector").distinct() if "qb" in by else left.select("id", "vector")
+    asked = right.select("query_id", "query_vector").dropDuplicates(["query_id"])
+    near = found.select("query_id", "id").join(vectors, "id").join(asked, "query_id")
+    return ranked(near.select("query_id", "id", F.round(distance(F.col("vector"), F.col("query_vector"), metric), DIGITS).alias("distance")), "query_id", k)
+
+
+def quantised_join(df: DataFrame, codec: Codec, queries: DataFrame, dimension: int, k: int = DEFAULT_TOP_K, metric: Metric | str = Metric.L2, rescore: int = 0) -> DataFrame:
+    """``quantised_knn`` for every row of (query_id, query_vector), in tiles of coded rows and queries."""
+    b = df.sparkSession.sparkContext.defaultParallelism
+    every = F.sequence(F.lit(0).cast("long"), F.lit(b - 1).cast("long"))
+    rows = df.select(F.col("id").cast("long").alias("id"), "vector", "code")
+    left = rows.withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(b).cast("long"))).withColumn("qb", F.explode(every))
+    right = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(b).cast("long"))).withColumn("bb", F.explode(every))
+    return _join(left, right, ["bb", "qb"], codec, dimension, check_top_k(k), Metric.of(metric), rescore)
+
+
 @dataclass
 class ClusteredIndex:
     """Rows with a ``cluster`` column (and ``code``, if the kind has codes), and the clusters' centroids."""
@@ -335,6 +389,22 @@ class ClusteredIndex:
             return knn(near, query, k, self.config.metric, filter, as_of, id, vector)
         return quantised_knn(near, self.codec, query, k, self.config.metric, rescore, filter, as_of, id, vector)
 
+    def join(self, queries: DataFrame, k: int = DEFAULT_TOP_K, nprobe: int | None = None, rescore: int = 4) -> DataFrame:
+        """``search`` for every row of (query_id, query_vector): each query meets the rows of the clusters it probes."""
+
+        def probed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in stream:
+                near = [self_probes(v) for v in _matrix(batch.column(1), n)]
+                at = pa.array(np.repeat(np.arange(batch.num_rows), [len(c) for c in near]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([c for own in near for c in own], pa.int32())], names=["query_id", "query_vector", "cluster"])
+
+        n, bare = self.config.dimension, ClusteredIndex(self.config, None, self.centroids, None)  # type: ignore[arg-type]
+        self_probes = lambda v: bare.probes(v, nprobe)
+        asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "query_vector")
+        right = asked.mapInArrow(probed, T.StructType([*asked.schema.fields, T.StructField("cluster", T.IntegerType())]))
+        left = self.rows.withColumn("id", F.col("id").cast("long")).withColumn("cluster", F.col("cluster").cast("int"))
+        return _join(left, right, ["cluster"], self.codec, n, check_top_k(k), self.config.metric, rescore)
+
     def write(self, path: str) -> ClusteredIndex:
         """As Parquet partitioned by cluster, so that a search prunes to the clusters it probes."""
         self.rows.repartition("cluster").write.mode("overwrite").partitionBy("cluster").parquet(path)

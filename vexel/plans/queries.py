@@ -449,29 +449,33 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _recalls(spark: SparkSession, sf_dir: str, kinds: dict[str, index.IndexConfig], rescore: int) -> DataFrame:
+    """Every row is a query, of each index once; truth is the exact join."""
     rows = vectors(spark, sf_dir)
-    asked = [r["vector"] for r in rows.orderBy(F.xxhash64("id")).limit(5).collect()]
+    asked = rows.select(F.col("id").cast("long").alias("query_id"), F.col("vector").alias("query_vector"))
+    at = scratch(spark, "truth")
+    search.knn_join(rows, asked, 10).select("query_id", "id").write.parquet(at)
+    truth = spark.read.parquet(at)
     out = []
     for name, config in kinds.items():
         if config.type.value.startswith("ivf"):
-            built = index.build_clustered(rows, config).write(scratch(spark, "index"))
-            find = lambda q, b=built: b.search(q, 10, rescore=rescore)
+            found = index.build_clustered(rows, config).write(scratch(spark, "index")).join(asked, 10, rescore=rescore)
         else:
             codec = index.fit_codec(rows, config)
-            coded = index.encode(rows, codec, config.dimension)
-            find = lambda q, c=codec, d=coded: index.quantised_knn(d, c, q, 10, config.metric, rescore)
-        out.append((name, sum(index.recall(find(q), search.knn(rows, q, 10)) for q in asked) / len(asked)))
-    return spark.createDataFrame(out, "name string, recall double")
+            found = index.quantised_join(index.encode(rows, codec, config.dimension), codec, asked, config.dimension, 10, config.metric, rescore)
+        each = truth.join(found.select("query_id", "id").withColumn("hit", F.lit(1)), ["query_id", "id"], "left").groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("recall"))
+        out.append(each.agg(F.lit(name).alias("name"), F.avg("recall").alias("recall")).first())
+    return spark.createDataFrame([tuple(r) for r in out], "name string, recall double")
 
 
 @query()
 def ivf_probe_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _recalls(spark, sf_dir, {"ivf_flat": index.IndexConfig(IndexType.IVF_FLAT, 64, Metric.L2, nlist=16, nprobe=8), "ivf_sq": index.IndexConfig(IndexType.IVF_SQ, 64, Metric.L2, nlist=16, nprobe=8)}, 4)
+    kinds = (IndexType.IVF_FLAT, IndexType.IVF_SQ, IndexType.IVF_PQ, IndexType.IVF_TURBOQUANT)
+    return _recalls(spark, sf_dir, {k.value: index.IndexConfig(k, 64, Metric.L2, nlist=16, nprobe=8) for k in kinds}, 4)
 
 
 @query()
 def turboquant_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _recalls(spark, sf_dir, {f"turboquant_{b}": index.IndexConfig(IndexType.TURBOQUANT, 64, Metric.L2, bits=b) for b in (8, 4, 2)}, 4)
+    return _recalls(spark, sf_dir, {f"turboquant_{b}": index.IndexConfig(IndexType.TURBOQUANT, 64, Metric.L2, bits=b) for b in (8, 4, 2, 1)}, 4)
 
 
 def queries() -> dict[str, Query]:
