@@ -6,8 +6,8 @@ units (its words without punctuation, and its runs of single letters); the machi
 scores units, and a sentence has the score of its worst. It is trained on the
 sentences of labelled documents: witnesses are the units that toxic documents have
 significantly more often, while the units of the others are harmless. As harmless
-text has some units like witnesses by chance, a document is called toxic only if it
-has more of them than its length explains.
+text has some units like witnesses by chance, a document is called toxic only if its
+units above the cut are likelier in a toxic text of its length than in a harmless one.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ LEAST, RATIO = 4, 12.0
 FALSE = 0.05
 #: Each witness has a landmark of at least this kernel with it.
 ALIKE = 0.9
+#: Plain examples of the machine: so many of the labelled documents' units most like witnesses, and so many others by chance.
+NEAR_PLAIN, OTHER_PLAIN = 6000, 6000
 #: Text that is scored in one go, to bound a task's memory.
 BATCH_BYTES = 2 << 20
 #: The cut is not below this.
@@ -175,8 +177,8 @@ def features(words: list[bytes], marks: list[bytes]) -> np.ndarray:
 class Machine:
     """marks: landmarks, the first ``toxic`` of them witnesses. weight: of the normalised kernel with each, Nyström map and hyperplane in one.
 
-    usual: the values above the cut of units of harmless documents, rising, for the witness each is most like; ``calm`` such
-    units were read in all. enough: the evidence a toxic document has at least.
+    usual, vile: the values above the cut of units of harmless and of toxic documents, rising, for the witness each is most
+    like; ``calm`` and ``ill`` are the units that were read of either kind. enough: the evidence a toxic document has at least.
     """
 
     marks: list[bytes]
@@ -185,7 +187,9 @@ class Machine:
     toxic: int = 0
     cut: float = 0.0
     usual: list[np.ndarray] = field(default_factory=list)
+    vile: list[np.ndarray] = field(default_factory=list)
     calm: int = 1
+    ill: int = 1
     enough: float = 0.0
 
     def table(self) -> np.ndarray:
@@ -294,7 +298,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 0) -> Machine | None:
     near = features(plain_words, marks_bad).max(axis=1)
     order = np.argsort(-near, kind="stable")
     marks = marks_bad + [plain_words[i] for i in order[: max(PLAIN_MARKS, len(marks_bad))]]
-    some = np.unique(np.concatenate((order[:6000], rng.choice(len(plain), min(len(plain), 6000), replace=False))))
+    some = np.unique(np.concatenate((order[:NEAR_PLAIN], rng.choice(len(plain), min(len(plain), OTHER_PLAIN), replace=False))))
     plain_words = [plain_words[i] for i in some]
     # Toxic units also with a letter put in or doubled, as people write them to get by.
     varied = []
@@ -320,9 +324,9 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 0) -> Machine | None:
     # How often harmless documents have units as bad as that, and the evidence that tells most labelled documents right.
     found = _hits(machine, each, letters, a, b, text, h)
     off = ~toxic[found.text]
-    machine.usual = [np.sort(found.value[off & (found.mark == k)]) for k in range(machine.toxic)]
+    machine.usual, machine.vile = ([np.sort(found.value[side & (found.mark == k)]) for k in range(machine.toxic)] for side in (off, ~off))
     size = _distinct_units(text, h, len(texts))
-    machine.calm = max(1, int(size[~toxic].sum()))
+    machine.calm, machine.ill = max(1, int(size[~toxic].sum())), max(1, int(size[toxic].sum()))
     proof = _evidence(machine, found, size)
     machine.enough = _parting(proof[toxic], proof[~toxic])
     return machine
@@ -381,21 +385,18 @@ def _distinct_units(text: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _evidence(machine: Machine, hits: Hits, size: np.ndarray) -> np.ndarray:
-    """How far each text has more bad units than chance: the most over j of the Chernoff exponent of a Poisson law, for its j worst units and the rate harmless text has of such."""
+    """How much likelier each text's units above the cut are in a toxic text than in a harmless one, as the logarithm of the ratio of two Poisson laws."""
     out = np.zeros(len(size))
     if not len(hits.text):
         return out
-    rate = np.empty(len(hits.text))
+    ratio = np.empty(len(hits.text))
     for k in range(machine.toxic):
         own = hits.mark == k
-        usual = machine.usual[k]
-        rate[own] = (len(usual) - np.searchsorted(usual, hits.value[own], side="left") + 0.5) / machine.calm
-    order = np.lexsort((rate, hits.text))
-    text, rate = hits.text[order], rate[order]
-    begins = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
-    j = np.arange(len(text)) - np.repeat(begins, np.diff(np.append(begins, len(text)))) + 1
-    mean = size[text] * rate
-    np.maximum.at(out, text, np.where(j > mean, j * np.log(j / mean) - j + mean, 0.0))
+        usual, vile = ((len(v) - np.searchsorted(v, hits.value[own], side="left") + 0.5) / n for v, n in ((machine.usual[k], machine.calm), (machine.vile[k], machine.ill)))
+        ratio[own] = np.log(vile / usual)
+    more = sum(map(len, machine.vile)) / machine.ill - sum(map(len, machine.usual)) / machine.calm
+    out = np.bincount(hits.text, weights=ratio, minlength=len(size)) - size * more
+    out[np.bincount(hits.text, minlength=len(size)) == 0] = 0
     return out
 
 
@@ -417,7 +418,12 @@ def document_scores(machine: Machine, table: np.ndarray, texts) -> tuple[np.ndar
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Machine | None:
-    """A machine from at most ``sample`` labelled documents, chosen by a hash of the id; labels without an id or value are left out, of contradicting ones the lowest counts."""
+    """A machine from at most ``sample`` labelled documents, chosen by a hash of the id.
+
+    Labels without an id or value are left out, of contradicting ones the lowest counts; so do rows that repeat an id and
+    text as often as they come. Null and empty texts have no units. Without labels of both kinds, as in an empty table,
+    there is no machine. Extra columns are not read.
+    """
     need(docs, text, doc_id)
     need(labels, doc_id, label)
     chosen = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.min(label).alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
@@ -429,8 +435,8 @@ def toxic_documents(docs: DataFrame, machine: Machine | None, text: str = "text"
     """(doc_id, score, n_toxic): the documents with a toxic sentence and more bad units than chance gives, the score of the worst and the number of such sentences.
 
     Null, empty and wordless texts are never toxic; nor is anything without a machine. Whole texts are read, long words in
-    overlapping windows. Null ids are passed on, repeated rows give a row each. An empty table gives an empty one; extra
-    columns are not read.
+    overlapping windows. Null ids are passed on, repeated rows give a row each; a score or evidence equal to its bound isn't
+    toxic. An empty table gives an empty one; extra columns are not read.
     """
     need(docs, text, doc_id)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"))
