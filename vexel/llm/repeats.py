@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vexel.llm.common import by_value, need, settled
-from vexel.llm.sais import suffix_array
+from vexel.llm.common import by_value, need, settled, slices
+from vexel.llm.sais import LONGEST, suffix_array
 from vexel.llm.textnum import ngrams, words
 
 by_value(__name__, "vexel.llm.common", "vexel.llm.textnum", "vexel.llm.sais")
@@ -29,6 +29,8 @@ WORDS = 50
 GRAM = 8
 #: Anchors of a shard, so that its text is some hundred thousand words; more shards, not larger ones, as the corpus grows.
 SHARD = 6_000
+#: Rows and bytes of text that are read in one go, to bound a task's memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def owners(grams: np.ndarray, at: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,8 +59,7 @@ def owners(grams: np.ndarray, at: np.ndarray, first: np.ndarray, window: int, gr
 def _anchors(window: int, gram: int):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in stream:
-            for i in range(0, whole.num_rows, 2000):
-                batch = whole.slice(i, 2000)
+            for batch in slices(whole, "body", BATCH_BYTES, BATCH_ROWS):
                 h, owner, first, *_ = words(batch.column("body"))
                 grams, at = ngrams(h, first, gram)
                 start, anchor = owners(grams, at, first, window, gram)
@@ -80,8 +81,7 @@ def _extracts(window: int, gram: int):
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in stream:
-            for i in range(0, whole.num_rows, 1000):
-                batch = whole.slice(i, 1000)
+            for batch in slices(whole, "body", BATCH_BYTES, BATCH_ROWS):
                 h, owner, first, s, e, data, _ = words(batch.column("body"))
                 grams, at = ngrams(h, first, gram)
                 start, anchor = owners(grams, at, first, window, gram)
@@ -175,14 +175,17 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     can be, so they don't overlap or touch. first_doc_id is the smallest id of the documents that have any window of the
     stretch, the document itself included. Null texts, shorter texts and rows without an id have none. Rows that repeat an
     id are one document: they don't make each other repeated, and one row is given for rows of the same id and text. An
-    empty table gives no rows; extra columns are not read.
+    empty table gives no rows; extra columns are not read. ``words`` may be from 1 to 4,000,000,000.
     """
     need(docs, text, doc_id)
+    if not 1 <= words <= LONGEST:
+        raise ValueError(f"words must be from 1 to {LONGEST}, not {words}")
     gram = min(GRAM, words)
     kind = docs.schema[doc_id].dataType
     rows = docs.filter(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("body"))
     schema = T.StructType([T.StructField("id", kind), T.StructField("h", T.LongType()), T.StructField("anchor", T.LongType())])
-    anchors = rows.mapInArrow(_anchors(words, gram), schema).repartition("anchor")
+    # Settled, since both the count and the join read them.
+    anchors = settled(rows.mapInArrow(_anchors(words, gram), schema))
     wanted = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("anchor")
     lists = settled(anchors.join(wanted, "anchor").groupBy("id", "h").agg(F.collect_set("anchor").alias("anchors")))
     found = rows.join(lists, ["id", "h"]).dropDuplicates(["id", "h"])

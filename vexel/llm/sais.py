@@ -25,6 +25,13 @@ by_value(__name__, "vexel.llm.common")
 BLOCK = 1 << 15
 GROUP = 32
 MEMORY = 1 << 21
+#: The greatest common-prefix value that can be asked for.
+LONGEST = 4_000_000_000
+
+
+def _kind(cap: int) -> type:
+    """The least type of whole numbers that holds common-prefix values up to ``cap`` and one more."""
+    return np.uint8 if cap < 255 else np.uint16 if cap < 65_535 else np.int64
 
 
 class TupleQueue:
@@ -89,14 +96,14 @@ class TupleQueue:
 
 
 class Minima:
-    """Least values of stretches of a growing array of bytes: for each power of two, the minimum of so many values up to each place."""
+    """Least values of stretches of a growing array: for each power of two, the minimum of so many values up to each place."""
 
-    def __init__(self, n: int, folder: str, memory: int):
+    def __init__(self, n: int, folder: str, memory: int, kind: type = np.uint8):
         levels = max(1, int(n).bit_length())
-        if levels * n > memory * 24:
-            self.of = np.memmap(os.path.join(folder, "minima"), dtype=np.uint8, mode="w+", shape=(levels, n))
+        if levels * n * np.dtype(kind).itemsize > memory * 24:
+            self.of = np.memmap(os.path.join(folder, "minima"), dtype=kind, mode="w+", shape=(levels, n))
         else:
-            self.of = np.empty((levels, n), dtype=np.uint8)
+            self.of = np.empty((levels, n), dtype=kind)
 
     def append(self, at: int, values: np.ndarray) -> None:
         end = at + len(values)
@@ -152,8 +159,8 @@ def _induce(t: np.ndarray, seeds: np.ndarray, seed_lcp: np.ndarray | None, targe
     bounds = _ranges(t, block)
     total = len(seeds) + int(target.sum())
     order, done = np.empty(total, dtype=np.int64), 0
-    lcp = np.zeros(total, dtype=np.uint8) if seed_lcp is not None else None
-    minima = Minima(total, folder, memory) if seed_lcp is not None else None
+    lcp = np.zeros(total, dtype=_kind(cap)) if seed_lcp is not None else None
+    minima = Minima(total, folder, memory, _kind(cap)) if seed_lcp is not None else None
     run = _runs(t) if seed_lcp is not None else None
     queue = TupleQueue(folder, len(bounds), memory)
     seed_cut = np.searchsorted(t[seeds], bounds, side="right")
@@ -222,7 +229,7 @@ def _induce(t: np.ndarray, seeds: np.ndarray, seed_lcp: np.ndarray | None, targe
                 i = np.flatnonzero(mid[at:end]) + at
                 if len(i):
                     value[i] = 1 + minima.least(rank[i - 1], rank[i])
-                part = np.minimum(value[at:end], cap).astype(np.uint8)
+                part = np.minimum(value[at:end], cap).astype(_kind(cap))
                 lcp[done + at : done + end] = part
                 minima.append(done + at, part)
                 at = end
@@ -236,7 +243,7 @@ def _induce(t: np.ndarray, seeds: np.ndarray, seed_lcp: np.ndarray | None, targe
 
 def _direct_lcp(t: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
     """Common-prefix values of neighbours by comparing letters, up to ``cap``."""
-    out = np.zeros(len(order), dtype=np.uint8)
+    out = np.zeros(len(order), dtype=_kind(cap))
     live = np.arange(1, len(order))
     for k in range(cap):
         a, b = order[live] + k, order[live - 1] + k
@@ -267,10 +274,10 @@ def _sorted(t: np.ndarray, cap: int, folder: str, block: int, memory: int) -> tu
             kept = down_lcp[is_down]
             same = np.concatenate(([False], t[down[is_down]][1:] == t[down[is_down]][:-1]))
             kept = np.where(same, kept, 0)
-            falling_lcp = np.concatenate(([0], kept[1:][::-1])).astype(np.uint8)
+            falling_lcp = np.concatenate(([0], kept[1:][::-1])).astype(_kind(cap))
         rise, rise_lcp = _induce(flip, falling, falling_lcp, up & (np.arange(n) < n - 1), cap, folder, block, memory)
         order = np.concatenate(([n - 1], rise[::-1]))
-        return order, None if not cap else np.concatenate(([0, 0], rise_lcp[1:][::-1])).astype(np.uint8)[:n]
+        return order, None if not cap else np.concatenate(([0, 0], rise_lcp[1:][::-1])).astype(_kind(cap))[:n]
 
     # Name the stretches between these suffixes in their order, and sort the suffixes by their names.
     some, _ = both(lms[np.argsort(t[lms], kind="stable")], 0)
@@ -306,10 +313,12 @@ def _sorted(t: np.ndarray, cap: int, folder: str, block: int, memory: int) -> tu
 
 
 def suffix_array(text: np.ndarray, cap: int = 50, block: int = BLOCK, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
-    """(order, lcp): the suffixes of a text of whole numbers >= 0 in order, and what each has in common with the one before, up to ``cap`` (at most 254).
+    """(order, lcp): the suffixes of a text of whole numbers >= 0 in order, and what each has in common with the one before, up to ``cap`` (at most LONGEST).
 
     ``memory`` is the number of tuples that a queue holds before it goes to disk. An empty text has no suffixes.
     """
+    if not 0 <= cap <= LONGEST:
+        raise ValueError(f"cap must be from 0 to {LONGEST}, not {cap}")
     if not len(text):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint8)
     folder = temp_dir()
