@@ -1,7 +1,8 @@
 """Document quality from a linear-chain conditional random field over lines.
 
 Every line is labelled good or bad from its own features and those of the lines
-next to it; the chain's forward-backward marginals, weighted by the length of the
+next to it; labels are known of documents only, so those of the lines they are
+trained on are inferred from all documents first. The chain's forward-backward marginals, weighted by the length of the
 lines, add up to the quality of the document.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vexel.llm.common import by_value, fresh, need
+from vexel.llm.common import by_value, fresh, need, slices
 from vexel.llm.textnum import LOWER, WORD, joined, span_hashes, spans
 
 by_value(__name__, "vexel.llm.common", "vexel.llm.textnum")
@@ -25,7 +26,10 @@ by_value(__name__, "vexel.llm.common", "vexel.llm.textnum")
 SAMPLE = 3000
 #: In choosing the cut, losing a good document weighs so many times as much as keeping a bad one (both as rates).
 CARE = 4.0
-BATCH = 1500
+#: Rows and bytes of text that are scored in one go, to bound a task's memory.
+BATCH, BATCH_BYTES = 1500, 8 << 20
+#: In training, a line of a bad document is good above PARDON, one of a good document bad up to BLAME, settled in so many turns.
+PARDON, BLAME, TURNS = 0.65, 0.02, 3
 
 # Byte classes: 0 lower-case letters and multi-byte characters, 1 capitals, 2 digits, 3 white space, 4 sentence marks, 5 exclamation marks, 6 other symbols.
 CLASSES = 7
@@ -116,16 +120,50 @@ def marginals(model: Chain, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarra
     return p[:, 1], pair.sum(axis=0), log_z
 
 
-def fit(x: np.ndarray, first: np.ndarray, good: np.ndarray, rounds: int = 120, rate: float = 0.15, l2: float = 1e-3) -> Chain:
-    """Maximum likelihood by Adam; every line of a training document has the label of the document."""
-    count = np.diff(first)
-    y = np.repeat(good.astype(float), count)
-    full = count > 0
-    pairs = np.zeros((2, 2))
-    pairs[1, 1] = np.maximum(count[good & full] - 1, 0).sum()
-    pairs[0, 0] = np.maximum(count[~good & full] - 1, 0).sum()
-    begin = first[:-1][full]
-    opened = np.array([(~good & full).sum(), (good & full).sum()], dtype=float)
+def line_labels(x: np.ndarray, first: np.ndarray, good: np.ndarray, turns: int = TURNS, pardon: float = PARDON, blame: float = BLAME) -> np.ndarray:
+    """The hidden label of every line, from the documents' labels as bags.
+
+    A line starts with its document's label. A logistic model of the line's own features then tells which lines look
+    like those of the other kind of document, in any document that has them; these change sides. A bad document keeps a
+    bad line, the one that looks worst, and a good one stays good over most of its length.
+    """
+    doc = np.repeat(np.arange(len(good)), np.diff(first))
+    y = good[doc]
+    own, length = x[:, : OWN + 1], np.expm1(x[:, 1] * 5)
+    total = np.bincount(doc, weights=length, minlength=len(good))
+    for _ in range(turns):
+        if y.all() or not y.any():
+            break
+        p = 1 / (1 + np.exp(-np.clip(own @ _logistic(own, y), -60, 60)))
+        y = np.where(good[doc], p > blame, p > pardon)
+        worst = np.full(len(good), np.inf)
+        np.minimum.at(worst, doc, p)
+        y &= good[doc] | (p > worst[doc])
+        lost = np.bincount(doc, weights=length * ~y, minlength=len(good)) > total / 2
+        y |= good[doc] & lost[doc]
+    return y
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 15, l2: float = 1e-3) -> np.ndarray:
+    """Weights of a logistic regression by Newton's steps; both classes weigh the same."""
+    share = np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum()))
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
+        h = (x * (share * p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w))
+        w = w + np.linalg.solve(h, x.T @ (share * (y - p)) - l2 * w)
+    return w
+
+
+def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int = 120, rate: float = 0.15, l2: float = 1e-3) -> Chain:
+    """Maximum likelihood of the lines' labels, steps between them included, by Adam."""
+    y = label.astype(float)
+    begin = first[:-1][np.diff(first) > 0]
+    inner = np.ones(len(y), dtype=bool)
+    inner[begin] = False
+    i = np.flatnonzero(inner)
+    pairs = np.bincount(2 * label[i - 1].astype(int) + label[i], minlength=4).reshape(2, 2).astype(float)
+    opened = np.array([(1 - y[begin]).sum(), y[begin].sum()])
     d = x.shape[1]
     theta, m, v = np.zeros(d + 6), np.zeros(d + 6), np.zeros(d + 6)
     for k in range(1, rounds + 1):
@@ -161,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body")).join(F.broadcast(chosen), "id")
 
     def features(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in (part for whole in stream for part in slices(whole, "body", BATCH_BYTES, BATCH)):
             x, _, first = line_features(batch.column("body"))
             lines = [x[first[i] : first[i + 1]].astype(np.float32).tobytes() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("y").cast(pa.int32()), pa.array(lines, pa.binary()), batch.column("id").cast(pa.string())], names=["y", "x", "id"])
@@ -174,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         return Chain(np.eye(1, d)[0] * 10, np.zeros((2, 2)), np.zeros(2))
     first = np.concatenate(([0], np.cumsum([len(x) for x in xs])))
     x = np.concatenate(xs)
-    model = fit(x, first, good)
+    model = fit(x, first, line_labels(x, first, good))
     doc = np.repeat(np.arange(len(xs)), np.diff(first))
     length = np.expm1(x[:, 1] * 5)
     q = np.bincount(doc, weights=marginals(model, x, first)[0] * length, minlength=len(xs)) / np.maximum(np.bincount(doc, weights=length, minlength=len(xs)), 1)
@@ -187,8 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 def _scored(model: Chain, text: str, cut: float | None, column: str | None):
     def scored(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in stream:
-            for i in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(i, BATCH)
+            for batch in slices(whole, text, BATCH_BYTES, BATCH):
                 q = document_quality(model, batch.column(batch.schema.get_field_index(text)))
                 if column:
                     batch = pa.RecordBatch.from_arrays([*batch.columns, pa.array(q)], names=[*batch.schema.names, column])
