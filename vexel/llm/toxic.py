@@ -65,13 +65,14 @@ def units(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.nda
         closes = (data == 46) | (data == 33) | (data == 63)
         stop[:-1] = closes[:-1] & SPACE[data[1:]]
         stop |= data == 10
-    sentence = np.cumsum(stop, dtype=np.int64) - stop
+    sentence = np.cumsum(stop, dtype=np.int32) - stop
     s, e = spans(inside, at)
     kept = KEEP[data] & inside
-    count = np.concatenate(([0], np.cumsum(kept)))
-    a, b = count[s], count[e]
+    count = np.zeros(len(data) + 1, dtype=np.int32)
+    np.cumsum(kept, out=count[1:], dtype=np.int32)
+    a, b = count[s].astype(np.int64), count[e].astype(np.int64)
     s, a, b = s[b > a], a[b > a], b[b > a]
-    text, sent = owner[s], sentence[s] + owner[s]
+    text, sent = owner[s], sentence[s].astype(np.int64) + owner[s]
     if len(a) > 1:
         # Runs of units of one letter within a text are one unit.
         single = (b - a) == 1
