@@ -88,7 +88,8 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity:
     pieces = sized.select("id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {capacity}"))).alias("k"))
     pieces = settled(pieces.select("id", (F.col("k") * capacity).alias("start"), F.least(F.col("n") - F.col("k") * capacity, F.lit(capacity)).cast("int").alias("size")))
     shards = max(1, -(-pieces.count() // shard))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "start"), F.lit(shards)))
+    # Copies of a row, or rows without an id, would all hash alike, so a settled row's own number goes into its shard.
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "start", F.monotonically_increasing_id()), F.lit(shards)))
 
     def packed(table: pa.Table) -> pa.Table:
         table = table.sort_by([("size", "descending"), ("id", "ascending"), ("start", "ascending")])
