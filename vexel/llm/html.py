@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vexel.llm.common import by_value, need
+from vexel.llm.common import by_value, need, slices
 
-by_value(__name__)
+by_value(__name__, "vexel.llm.common")
 
+#: Pages and bytes of them that are read in one go, to bound a task's memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 SHORT = 70
 #: Share of function words from which a block is prose: paragraphs of each language have more, lists and names less.
 PROSE = 0.10
@@ -184,7 +186,7 @@ def extract(pages: DataFrame, html: str = "html", page_id: str = "page_id", url:
     schema = T.StructType([rows.schema["page_id"], rows.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_blocks", T.IntegerType()), T.StructField("n_good", T.IntegerType())])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in (part for whole in stream for part in slices(whole, "html", BATCH_BYTES, BATCH_ROWS)):
             got = [main_text(x) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.int32())],
