@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vexel.llm.common import batches_of, by_value, fresh, need, settled
+from vexel.llm.common import batches_of, by_value, fresh, need, settled, slices
 from vexel.llm.components import components
 from vexel.llm.textnum import mix, ngrams, words
 
@@ -32,6 +32,8 @@ ROWS, BANDS = 3, 42
 STEP = 18
 BLOCK = 1024
 VERIFY_ROWS = 400
+#: Rows and bytes of text that are hashed in one go, to bound a task's memory.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def minhash_seeds(k: int = ROWS * BANDS, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -81,8 +83,7 @@ def _signed(n: int):
 
     def signed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
+            for part in slices(batch, "body", BATCH_BYTES, BATCH_ROWS):
                 sets = gram_sets(part.column("body"), n)
                 some = [i for i, s in enumerate(sets) if len(s)]
                 if not some:
@@ -178,9 +179,9 @@ def _node_pairs(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, n: in
     """(a, b, jaccard) for pairs of nodes, settled."""
     spark = docs.sparkSession
     band = nodes.select("nid", F.explode("keys").alias("key"))
-    w = Window.partitionBy("key")
-    met = band.withColumns({"idx": F.row_number().over(w.orderBy("nid")), "cnt": F.count("*").over(w)}).filter("cnt > 1")
-    met = met.select("key", "nid", F.expr(f"cast((idx - 1) div {block} as int)").alias("block"), F.expr(f"cast((cnt - 1) div {block} as int)").alias("last"))
+    # The size of a bucket is counted map-side; nodes are dealt to its blocks by hash, so no task holds a bucket.
+    counts = band.groupBy("key").agg(F.count("*").alias("cnt")).filter("cnt > 1").select("key", F.expr(f"cast((cnt - 1) div {block} as int)").alias("last"))
+    met = band.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("last") + 1).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     lo, hi = F.least("block", "other"), F.greatest("block", "other")
     met = met.select("key", "nid", "block", (lo == hi).alias("alone"), F.when(F.col("last") == 0, F.col("key")).otherwise(F.xxhash64("key", lo, hi)).alias("tile"))
@@ -219,6 +220,30 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     return both.groupBy(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
 
 
+def ngram_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+    """(doc_id, class_id, links): one row for each document that reaches ``threshold`` with another one.
+
+    links is the number of documents it does so with, class_id the smallest id of all that can be reached by links. It
+    tells what ``ngram_jaccard_join`` finds without a row for each pair: copies are counted, not paired.
+
+    A document is an id with a text: rows that repeat both are one, and texts of one id are several, each with a row.
+    Null texts, texts without a word and rows without an id have no links, so no row. Ties need no rule. An empty table
+    gives none; extra columns are not read.
+    """
+    need(docs, text, doc_id)
+    nodes, members = _nodes(docs, text, doc_id, n)
+    near = _node_pairs(docs, nodes, text, doc_id, n, threshold, tolerance, block)
+    labels = components(near)
+    own = members.groupBy("nid").agg(F.count("*").alias("copies"), F.min("id").alias("least"))
+    ends = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    far = ends.join(own.select(F.col("nid").alias("b"), "copies"), "b").groupBy(F.col("a").alias("nid")).agg(F.sum("copies").alias("far"))
+    named = own.join(labels, own["nid"] == labels["node"], "left").select("nid", "copies", "least", F.coalesce("label", "nid").alias("label"))
+    named = settled(named.join(far, "nid", "left").withColumn("links", F.col("copies") - 1 + F.coalesce("far", F.lit(0))).filter("links > 0").select("nid", "label", "least", "links"))
+    classes = named.groupBy("label").agg(F.min("least").alias("class_id"))
+    linked = named.join(classes, "label").select("nid", "class_id", "links")
+    return members.join(linked, "nid").select(F.col("id").alias("doc_id"), "class_id", "links")
+
+
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """``docs`` with one document of each group of near copies: that with the smallest id.
 

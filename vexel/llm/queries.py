@@ -12,7 +12,7 @@ from vexel.llm.exact import exact_copies
 from vexel.llm.html import extract
 from vexel.llm.media import embedding_images, media_tiles
 from vexel.llm.mix import mix_schedule
-from vexel.llm.ngramjoin import ngram_jaccard_join
+from vexel.llm.ngramjoin import ngram_classes
 from vexel.llm.pack import pack
 from vexel.llm.repeats import repeated_passages
 
@@ -79,12 +79,43 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.toxic_documents(docs, toxic.train(docs, _table(spark, sf_dir, "labels")))
 
 
+#: The words of a text: runs of letters and digits, only ASCII letters lower-cased.
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?:[0-9a-z]|[^\\x00-\\x7F])+')"
+
+#: All windows of 50 words by their text.
+_REPEATS = f"""
+    with d as (select row_number() over (order by doc_id, text) k, doc_id, {_WORDS} w from (select distinct doc_id, text from documents where text is not null and doc_id is not null)),
+    v as (select k, doc_id, unnest(range(0, len(w) - 49)) i, w from d),
+    t as (select k, doc_id, i, array_to_string(w[i + 1:i + 50], ' ') body from v),
+    f as (select body, min(doc_id) least from t group by body having min(doc_id) < max(doc_id)),
+    h as (select k, doc_id, i, least, case when i - lag(i) over (partition by k order by i) <= 50 then 0 else 1 end new from t join f using (body)),
+    o as (select *, sum(new) over (partition by k order by i) part from h)
+    select doc_id, min(i) start_word, max(i) + 50 - min(i) n_words, min(least) first_doc_id from o group by k, doc_id, part
+"""
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+
+#: All pairs through an index of the word 3-grams, so only for small tables.
+_CLASSES = f"""
+    with recursive d as (select row_number() over (order by doc_id, text) k, doc_id, {_WORDS} w from (select distinct doc_id, text from documents where text is not null and doc_id is not null)),
+    g as (select distinct k, unnest(case when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) gram from d where len(w) > 0),
+    s as (select k, count(*) n from g group by k),
+    c as (select x.k a, y.k b, count(*) shared from g x join g y on x.gram = y.gram and x.k < y.k group by all),
+    p as (select a, b from c join s x on x.k = a join s y on y.k = b where shared >= 0.5 * (x.n + y.n - shared)),
+    e as (select a, b from p union all select b, a from p),
+    r as (select a k, a other from e union select r.k, e.b from r join e on r.other = e.a)
+    select d.doc_id, min(m.doc_id) class_id, any_value(links) links
+    from d join (select a, count(*) links from e group by a) on d.k = a join r using (k) join d m on m.k = r.other group by d.k, d.doc_id
+"""
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
+    """Each document with a near copy: its class and the number of its links."""
+    return ngram_classes(_table(spark, sf_dir, "documents"))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +140,8 @@ def oracle_sql() -> dict[str, str]:
                    flatten(list_transform(q, lambda v: [length(v.h)::int, length(v.b)::int])) lengths, flatten(list_transform(q, lambda v: [0::int, v.k::int])) trained
             from p
         """,
+        "op7_suffix_array_dedup": _REPEATS,
+        "op8_ngram_jaccard_join": _CLASSES,
         "op9_exact_dedup": """
             with g as (select text, min(doc_id) keep_id from documents where text is not null and doc_id is not null group by text)
             select distinct g.keep_id, d.doc_id copy_id from documents d join g using (text) where d.doc_id <> g.keep_id
