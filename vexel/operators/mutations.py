@@ -12,11 +12,10 @@ from vexel.types import MAX_IDS, InvalidArgument, check_id
 
 
 def latest(batch: DataFrame, seq: Column | str | None, id: str = "id") -> DataFrame:
-    """One row an id: that with the greatest ``seq`` (any one of equals); without it rows must be distinct by id already."""
-    if seq is None:
-        return batch.dropDuplicates([id])
-    row = F.max_by(F.struct(*(F.col(f"`{c}`") for c in batch.columns)), seq if isinstance(seq, Column) else F.col(seq))
-    return batch.groupBy(F.col(id).alias("__id")).agg(row.alias("__row")).select("__row.*")
+    """One row an id: that with the greatest ``seq`` (any one of equals); without it the last one in the order of the batch."""
+    order = F.monotonically_increasing_id() if seq is None else seq if isinstance(seq, Column) else F.col(seq)
+    row = F.max_by(F.struct(*(F.col(f"`{c}`") for c in batch.columns)), F.col("__order"))
+    return batch.withColumn("__order", order).groupBy(F.col(id).alias("__id")).agg(row.alias("__row")).select("__row.*")
 
 
 def upsert(existing: DataFrame, batch: DataFrame, seq: Column | str | None = None, id: str = "id") -> DataFrame:

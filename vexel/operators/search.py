@@ -38,11 +38,15 @@ def select_rows(df: DataFrame, filter: str | Node | None, as_of: int | None, coe
     return out.filter(to_column(filter, df.schema, coerce)) if filter is not None else out
 
 
-def _measured(df: DataFrame, query: Sequence[float], metric: Metric | str, vector: str) -> DataFrame:
+def measured(query: Sequence[float], metric: Metric | str, vector: str = "vector") -> Column:
+    """The distance of a row's vector from the query, to DIGITS digits; an error for another dimension."""
     if not len(query):
         raise InvalidArgument("empty query vector")
-    fits = same_size(F.col(vector), len(query))
-    return df.withColumn("distance", F.when(fits, F.round(distance(F.col(vector), literal(query), metric), DIGITS)))
+    return F.when(same_size(F.col(vector), len(query)), F.round(distance(F.col(vector), literal(query), metric), DIGITS))
+
+
+def _measured(df: DataFrame, query: Sequence[float], metric: Metric | str, vector: str) -> DataFrame:
+    return df.withColumn("distance", measured(query, metric, vector))
 
 
 def knn(df: DataFrame, query: Sequence[float], k: int = DEFAULT_TOP_K, metric: Metric | str = Metric.L2, filter: str | Node | None = None, as_of: int | None = None, id: str = "id", vector: str = "vector") -> DataFrame:

@@ -10,15 +10,26 @@ from pyspark.sql import functions as F
 
 from vexel.operators.search import DIGITS, select_rows
 from vexel.plans.filters import Node
+from vexel.sources.scratch import settled
 from vexel.types import DEFAULT_TOP_K, check_sparse, check_top_k
 
 K1, B = 1.2, 0.75
 
 
+#: Runs of ASCII letters and digits, lower-cased after they are cut, so that no other letter can turn into one.
+TOKEN = "[0-9A-Za-z]+"
+
+
+def _text(text: str | Column) -> Column:
+    return F.col(text) if isinstance(text, str) else text
+
+
 def tokens(text: str | Column) -> Column:
-    """Runs of ASCII letters and digits, lower-cased after they are cut, so that no other letter can turn into one."""
-    c = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.transform(F.split(c, "[^0-9A-Za-z]+"), F.lower), lambda x: x != "")
+    return F.transform(F.regexp_extract_all(_text(text), F.lit(TOKEN), F.lit(0)), F.lower)
+
+
+def token_count(text: str | Column) -> Column:
+    return F.coalesce(F.regexp_count(_text(text), F.lit(TOKEN)), F.lit(0))
 
 
 def query_terms(text: str) -> list[str]:
@@ -52,10 +63,11 @@ class TextIndex:
 
 
 def text_index(df: DataFrame, id: str = "id", text: str = "text") -> TextIndex:
-    """Documents without a token are not counted."""
-    docs = df.select(F.col(id).alias("id"), tokens(text).alias("tk")).filter(F.size("tk") > 0)
-    totals = docs.agg(F.count("*").alias("n"), F.avg(F.size("tk")).alias("avgdl"))
-    postings = docs.select("id", F.size("tk").alias("dl"), F.explode("tk").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    """Documents without a token are not counted. Postings are settled, since terms and every search read them."""
+    docs = df.select(F.col(id).alias("id"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("tk"))
+    words = docs.select("id", F.size("tk").alias("dl"), F.explode("tk").alias("word"))
+    postings = settled(words.groupBy("id", "dl", F.lower("word").alias("term")).agg(F.count("*").alias("tf")))
+    totals = df.select(token_count(text).alias("dl")).filter("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     return TextIndex(postings, postings.groupBy("term").agg(F.count("*").alias("df")), totals)
 
 
@@ -64,10 +76,6 @@ def _score(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column) -> Colu
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def _occurrences(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == F.lit(term)))
-
-
 def search_index(index: TextIndex, query: str, k: int = DEFAULT_TOP_K) -> DataFrame:
     """(id, score) from a built index, best first, ties by id; only documents with a term of the query."""
     terms = query_terms(query)
@@ -78,32 +86,51 @@ def search_index(index: TextIndex, query: str, k: int = DEFAULT_TOP_K) -> DataFr
     return scored.orderBy(F.desc("score"), "id").limit(check_top_k(k))
 
 
+def counted(rows: DataFrame, text: str, terms: list[str], keep: dict[str, Column]) -> DataFrame:
+    """The columns ``keep`` of every row and what BM25 needs of its text: dl, its tokens, and tf0, tf1, ..., how often it has each term.
+
+    A text is cut into tokens once; they are counted where they are cut, and only counts are shuffled.
+    """
+    word = F.explode_outer(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("__word")
+    cut = rows.select(*(c.alias(n) for n, c in keep.items()), F.monotonically_increasing_id().alias("__row"), F.col(text)).select("__row", *keep, word)
+    have = (F.count_if(F.lower("__word") == t).alias(f"tf{i}") for i, t in enumerate(terms))
+    return settled(cut.groupBy("__row", *keep).agg(F.count("__word").alias("dl"), *have).drop("__row"))
+
+
+def score_counted(counts: DataFrame, terms: list[str], k: int) -> DataFrame:
+    """(id, score), best first, ties by id, from a table of ``counted``."""
+    docs, n = counts.filter("dl > 0"), len(terms)
+    totals = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(n)))
+    rows = docs.filter(" or ".join(f"tf{i} > 0" for i in range(n)) or "false").crossJoin(F.broadcast(totals))
+    score = F.lit(0.0)
+    for i in range(n):
+        score = score + F.when(F.col(f"tf{i}") > 0, _score(F.col(f"tf{i}"), F.col(f"df{i}"), F.col("dl"), F.col("n"), F.col("avgdl"))).otherwise(0.0)
+    return rows.select("id", F.round(score, DIGITS).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+
 def bm25(df: DataFrame, query: str, k: int = DEFAULT_TOP_K, filter: str | Node | None = None, as_of: int | None = None, id: str = "id", text: str = "text") -> DataFrame:
-    """(id, score) straight from the texts: one pass with all statistics, in which only the query's terms leave the token array.
+    """(id, score) straight from the texts, which are read once: a narrow table of counts has the statistics and the scores.
 
     Statistics are of the rows that are searched, filter and expiry applied.
     """
     terms = query_terms(query)
-    docs = select_rows(df, filter, as_of).select(F.col(id).alias("id"), tokens(text).alias("tk")).filter(F.size("tk") > 0)
-    # A count for each term, by position: array work stays in one row and nothing is exploded.
-    counted = docs.select("id", F.size("tk").alias("dl"), *(_occurrences("tk", t).alias(f"tf{i}") for i, t in enumerate(terms)))
-    totals = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
-    rows = counted.filter(" or ".join(f"tf{i} > 0" for i in range(len(terms))) or "false").crossJoin(F.broadcast(totals))
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        score = score + F.when(F.col(f"tf{i}") > 0, _score(F.col(f"tf{i}"), F.col(f"df{i}"), F.col("dl"), F.col("n"), F.col("avgdl"))).otherwise(0.0)
-    return rows.select("id", F.round(score, DIGITS).alias("score")).orderBy(F.desc("score"), "id").limit(check_top_k(k))
+    return score_counted(counted(select_rows(df, filter, as_of), text, terms, {"id": F.col(id)}), terms, check_top_k(k))
 
 
-def sparse_search(df: DataFrame, query: Mapping[int, float], k: int = DEFAULT_TOP_K, filter: str | Node | None = None, as_of: int | None = None, id: str = "id", sparse: str = "sparse") -> DataFrame:
-    """(id, score): the largest dot products with a sparse query, among rows that share an index with it; ties by id."""
+def sparse_columns(sparse: str, query: Mapping[int, float]) -> tuple[Column, Column]:
+    """(dot product with a sparse query, do they share an index); a row's few entries are summed in place, nothing is exploded."""
     pairs = check_sparse(sorted((int(i), float(v)) for i, v in query.items()))
     if not pairs:
-        return df.sparkSession.createDataFrame([], df.select(F.col(id).alias("id"), F.lit(0.0).alias("score")).schema)
+        return F.lit(0.0), F.lit(False)
     weight = F.create_map(*(c for i, v in pairs for c in (F.lit(i).cast("long"), F.lit(v))))
     wanted = F.array(*(F.lit(i).cast("long") for i, _ in pairs))
-    # A row's few entries that meet the query are summed in place; nothing is exploded or shuffled before the top k.
     shared = F.filter(sparse, lambda e: F.array_contains(wanted, e["idx"].cast("long")))
     score = F.aggregate(shared, F.lit(0.0), lambda s, e: s + e["val"].cast("double") * weight[e["idx"].cast("long")])
-    rows = select_rows(df, filter, as_of).filter(F.exists(sparse, lambda e: F.array_contains(wanted, e["idx"].cast("long"))))
-    return rows.select(F.col(id).alias("id"), F.round(score, DIGITS).alias("score")).orderBy(F.desc("score"), "id").limit(check_top_k(k))
+    return F.round(score, DIGITS), F.exists(sparse, lambda e: F.array_contains(wanted, e["idx"].cast("long")))
+
+
+def sparse_search(df: DataFrame, query: Mapping[int, float], k: int = DEFAULT_TOP_K, filter: str | Node | None = None, as_of: int | None = None, id: str = "id", sparse: str = "sparse") -> DataFrame:
+    """(id, score): the largest dot products with a sparse query, among rows that share an index with it; ties by id."""
+    score, meets = sparse_columns(sparse, query)
+    rows = select_rows(df, filter, as_of).filter(meets)
+    return rows.select(F.col(id).alias("id"), score.alias("score")).orderBy(F.desc("score"), "id").limit(check_top_k(k))

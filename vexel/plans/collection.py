@@ -1,17 +1,23 @@
 """Collections: rows in Parquet folders by shard, and a manifest that says which folders count.
 
 A change writes new folders and then a new manifest; nothing that a reader may have
-open is overwritten. Only the shards that a change meets are rewritten.
+open is overwritten. Only the shards that a change meets are rewritten. Manifests
+are numbered, and the one of the greatest number counts: a writer creates the next
+number or is told that another has been faster.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import time
 import uuid
-from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
+from collections import OrderedDict
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from functools import reduce, wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,43 +26,92 @@ from vexel.operators import hybrid as _hybrid
 from vexel.operators import mutations, search
 from vexel.operators.index import ClusteredIndex, IndexConfig, build_clustered, resolve
 from vexel.plans.filters import Node
+from vexel.plans.policy import Permission, PermissionDenied, Policy, append_audit, audit_line
 from vexel.sources import storage
 from vexel.sources.importers import read_csv, read_npy, read_parquet
-from vexel.types import BASE_SCHEMA, DEFAULT_RANGE_RESULTS, DEFAULT_TOP_K, AlreadyExists, EngineError, IndexType, InvalidArgument, Metric, NotFound, check_dimension, check_metadata, check_metadata_schema, check_name, family
+from vexel.types import BASE_SCHEMA, MAX_BATCH, DEFAULT_RANGE_RESULTS, DEFAULT_TOP_K, AlreadyExists, EngineError, IndexType, InvalidArgument, Metric, NotFound, check_dimension, check_metadata, check_metadata_schema, check_name, family
 
-MANIFEST = "manifest.json"
+_MANIFEST = re.compile(r"manifest-(\d+)\.json\Z")
+#: Imports that may run at a time in one collection, and results that the cache of searches holds.
+MAX_JOBS, CACHED = 4, 10_000
 
 
 class Engine:
-    """The collections below a folder."""
+    """The collections below a folder.
 
-    def __init__(self, spark: SparkSession, root: str, clock: Callable[[], float] = time.time):
+    With a ``policy`` every call is checked for ``user``. Calls are timed; with ``audit``, a folder, they are also recorded
+    there, ``flush_audit`` writing what has come up since the last time.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, clock: Callable[[], float] = time.time, policy: Policy | None = None, user: str = "", audit: str | None = None):
         self.spark, self.root, self.clock = spark, root.rstrip("/"), clock
+        self.policy, self.user, self.audit = policy, user, audit
+        self.lines: list[str] = []
+        self.queries, self.query_ms = 0, 0.0
+        self.cache: OrderedDict[str, pa.Table] = OrderedDict()
+        self.hits = 0
+
+    @contextmanager
+    def call(self, permission: Permission, collection: str) -> Iterator[None]:
+        """Checks, times and records a call."""
+        began, ok = time.perf_counter(), False
+        try:
+            if self.policy and not self.policy.allows(self.user, permission, collection):
+                raise PermissionDenied(f"{self.user or 'nobody'} may not {permission.value} {collection}")
+            yield
+            ok = True
+        finally:
+            millis = (time.perf_counter() - began) * 1000
+            if ok and permission in (Permission.SEARCH, Permission.RANGE_SEARCH, Permission.HYBRID_SEARCH):
+                self.queries, self.query_ms = self.queries + 1, self.query_ms + millis
+            if self.audit:
+                self.lines.append(audit_line(self.user, permission.value, collection, ok, millis, self.clock()))
+
+    def flush_audit(self) -> None:
+        if self.audit and self.lines:
+            append_audit(self.spark, self.lines, self.audit)
+            self.lines.clear()
 
     def create_collection(self, name: str, dimension: int, metric: Metric | str = Metric.L2, index_type: IndexType | str = IndexType.FLAT, num_shards: int = 1) -> Collection:
-        check_name(name)
-        manifest = {"name": name, "dimension": check_dimension(dimension), "metric": Metric.of(metric).value, "index_type": IndexType.of(index_type).value, "num_shards": max(1, num_shards), "version": 0, "shards": {}, "schema": BASE_SCHEMA.jsonValue()}
-        at = f"{self.root}/{name}/{MANIFEST}"
-        if storage.exists(self.spark, at) or not storage.write_json(self.spark, at, manifest, new=True):
-            raise AlreadyExists(name)
-        return Collection(self, name)
+        with self.call(Permission.CREATE_COLLECTION, check_name(name)):
+            manifest = {"name": name, "dimension": check_dimension(dimension), "metric": Metric.of(metric).value, "index_type": IndexType.of(index_type).value, "num_shards": max(1, num_shards), "version": 0, "shards": {}, "schema": BASE_SCHEMA.jsonValue()}
+            if self._there(name) or not storage.create_json(self.spark, f"{self.root}/{name}/manifest-0.json", manifest):
+                raise AlreadyExists(name)
+            return Collection(self, name)
+
+    def _there(self, name: str) -> bool:
+        return any(map(_MANIFEST.match, storage.children(self.spark, f"{self.root}/{name}")))
 
     def collection(self, name: str) -> Collection:
-        if not storage.exists(self.spark, f"{self.root}/{check_name(name)}/{MANIFEST}"):
+        if not self._there(check_name(name)):
             raise NotFound(name)
         return Collection(self, name)
 
     def drop_collection(self, name: str) -> None:
-        self.collection(name)
-        storage.remove(self.spark, f"{self.root}/{name}")
+        with self.call(Permission.DROP_COLLECTION, check_name(name)):
+            self.collection(name)
+            storage.remove(self.spark, f"{self.root}/{name}")
 
     def list_collections(self) -> list[dict]:
-        names = [n for n in storage.children(self.spark, self.root) if storage.exists(self.spark, f"{self.root}/{n}/{MANIFEST}")]
-        return [self.collection(n).describe() for n in names]
+        with self.call(Permission.LIST_COLLECTIONS, ""):
+            return [self.collection(n).describe() for n in storage.children(self.spark, self.root) if self._there(n)]
 
-    def stats(self) -> dict[str, int]:
+    def stats(self) -> dict[str, float]:
+        """Collections, their rows, and the searches so far with the mean time that planning them took."""
         found = self.list_collections()
-        return {"collections": len(found), "rows": sum(c["rows"] for c in found)}
+        return {"collections": len(found), "rows": sum(c["rows"] for c in found), "queries": self.queries, "mean_query_ms": self.query_ms / self.queries if self.queries else 0.0}
+
+
+def guarded(permission: Permission) -> Callable[[Callable], Callable]:
+    def wrap(f: Callable) -> Callable:
+        @wraps(f)
+        def call(self: Collection, *args, **named):
+            with self.engine.call(permission, self.name):
+                return f(self, *args, **named)
+
+        return call
+
+    return wrap
 
 
 class Collection:
@@ -64,9 +119,23 @@ class Collection:
         self.engine, self.spark, self.name = engine, engine.spark, name
         self.path = f"{engine.root}/{name}"
 
+    def _versions(self) -> list[int]:
+        return sorted((int(m[1]) for c in storage.children(self.spark, self.path) if (m := _MANIFEST.match(c))), reverse=True)
+
     @property
     def manifest(self) -> dict:
-        return storage.read_json(self.spark, f"{self.path}/{MANIFEST}")
+        """That of the greatest number which is whole: a writer that died has left half a file at most."""
+        for n in self._versions():
+            try:
+                return storage.read_json(self.spark, f"{self.path}/manifest-{n}.json")
+            except json.JSONDecodeError:
+                continue
+        raise NotFound(self.name)
+
+    def recover(self) -> int:
+        """Takes away manifests that dead writers have left unfinished, so that changes can go on; how many. Not while others write."""
+        whole = self.manifest["version"]
+        return sum(storage.remove(self.spark, f"{self.path}/manifest-{n}.json") for n in self._versions() if n > whole)
 
     def _read(self, manifest: dict, shards: Sequence[int] | None = None) -> DataFrame:
         schema = T.StructType.fromJson(manifest["schema"])
@@ -123,12 +192,26 @@ class Collection:
         df.withColumn("__shard", mutations.shard_of("id", n)).repartition(n, "__shard").write.option("maxRecordsPerFile", 5_000_000).partitionBy("__shard").parquet(at)
         return {int(c.split("=")[1]): f"{at}/{c}" for c in storage.children(self.spark, at) if c.startswith("__shard=")}
 
-    def _commit(self, manifest: dict, schema: T.StructType, shards: Mapping[str, list[str]]) -> None:
-        if self.manifest["version"] != manifest["version"]:
+    def _commit(self, manifest: dict, schema: T.StructType, shards: Mapping[str, list[str]], mark: tuple[str, int] | None = None) -> None:
+        """The next version; with ``mark``, a stream and the number of its batch, which the manifest then holds as applied."""
+        new = manifest | {"version": manifest["version"] + 1, "schema": schema.jsonValue(), "shards": {str(k): v for k, v in shards.items()}}
+        if mark:
+            new["applied"] = manifest.get("applied", {}) | {mark[0]: mark[1]}
+        if not storage.create_json(self.spark, f"{self.path}/manifest-{new['version']}.json", new):
             raise EngineError("changed by another writer; try again")
-        storage.write_json(self.spark, f"{self.path}/{MANIFEST}", manifest | {"version": manifest["version"] + 1, "schema": schema.jsonValue(), "shards": {str(k): v for k, v in shards.items()}})
 
-    def insert(self, batch: DataFrame, ttl: int | None = None) -> None:
+    @contextmanager
+    def _staged(self, df: DataFrame) -> Iterator[DataFrame]:
+        """Rows written once, so that counts and changes are of the same rows; deleted afterwards."""
+        at = f"{self.path}/staged-{uuid.uuid4().hex}"
+        df.write.parquet(at)
+        try:
+            yield self.spark.read.schema(df.schema).parquet(at)
+        finally:
+            storage.remove(self.spark, at)
+
+    @guarded(Permission.INSERT)
+    def insert(self, batch: DataFrame, ttl: int | None = None, mark: tuple[str, int] | None = None) -> None:
         """Appends; ids aren't checked for being there."""
         m = self.manifest
         ready = self._ready(batch, m["dimension"], ttl)
@@ -136,36 +219,45 @@ class Collection:
         shards = {k: list(v) for k, v in m["shards"].items()}
         for s, path in self._write(ready, m).items():
             shards.setdefault(str(s), []).append(path)
-        self._commit(m, schema, shards)
+        self._commit(m, schema, shards, mark)
 
     stream_insert = insert
 
-    def _rewrite(self, m: dict, touched: Sequence[int], change: Callable[[DataFrame], DataFrame], schema: T.StructType) -> None:
+    def insert_rows(self, rows: Sequence[Mapping], ttl: int | None = None) -> None:
+        """Rows of the caller's own, at most MAX_BATCH at a time."""
+        if not 1 <= len(rows) <= MAX_BATCH:
+            raise InvalidArgument(f"from 1 to {MAX_BATCH} rows, not {len(rows)}")
+        self.insert(self.spark.createDataFrame(pa.Table.from_pylist([dict(r) for r in rows])), ttl)
+
+    def _rewrite(self, m: dict, touched: Sequence[int], change: Callable[[DataFrame], DataFrame], schema: T.StructType, mark: tuple[str, int] | None = None) -> None:
         shards = {k: v for k, v in m["shards"].items() if int(k) not in touched}
         old = self._read(m | {"schema": schema.jsonValue()}, touched)
         shards |= {str(s): [p] for s, p in self._write(change(old), m).items()}
-        self._commit(m, schema, shards)
+        self._commit(m, schema, shards, mark)
 
     def _touched(self, df: DataFrame, m: dict) -> list[int]:
         return [r[0] for r in df.select(mutations.shard_of("id", m["num_shards"])).distinct().collect()]
 
-    def upsert(self, batch: DataFrame, seq: str | None = None, ttl: int | None = None) -> dict[str, int]:
-        """Whole rows replaced by id. ``seq`` names a column of the batch that orders rows of one id; it isn't kept."""
+    @guarded(Permission.UPSERT)
+    def upsert(self, batch: DataFrame, seq: str | None = None, ttl: int | None = None, mark: tuple[str, int] | None = None) -> dict[str, int]:
+        """Whole rows replaced by id. ``seq`` names a column of the batch that orders rows of one id; it isn't kept. Without it the last one counts."""
         m = self.manifest
-        one = mutations.latest(batch, seq) if seq else batch.dropDuplicates(["id"])
-        ready = self._ready(one.drop(seq) if seq else one, m["dimension"], ttl)
-        schema = self._merged(m, ready.schema)
-        touched = self._touched(ready, m)
-        counts = mutations.upsert_counts(self._read(m, touched).select("id"), ready.select("id")).first()
-        self._rewrite(m, touched, lambda old: mutations.upsert(old, ready), schema)
+        one = mutations.latest(batch, seq)
+        with self._staged(self._ready(one.drop(seq) if seq else one, m["dimension"], ttl)) as ready:
+            schema = self._merged(m, ready.schema)
+            touched = self._touched(ready, m)
+            counts = mutations.upsert_counts(self._read(m, touched).select("id"), ready.select("id")).first()
+            self._rewrite(m, touched, lambda old: mutations.upsert(old, ready), schema, mark)
         return {"inserted": counts["inserted"], "updated": counts["updated"]}
 
+    @guarded(Permission.GET)
     def get(self, ids: Sequence[int], as_of: int | None = None) -> tuple[DataFrame, DataFrame]:
         """(rows in the order asked, ids not found)."""
         m = self.manifest
         near = self._read(m, {int(i) % m["num_shards"] for i in ids})
         return mutations.get(near, ids, self._now(as_of)), mutations.not_found(near, ids, self._now(as_of))
 
+    @guarded(Permission.DELETE)
     def delete(self, ids: Sequence[int]) -> dict:
         m = self.manifest
         touched = sorted({int(i) % m["num_shards"] for i in ids})
@@ -174,6 +266,7 @@ class Collection:
         self._rewrite(m, touched, lambda old: mutations.delete(old, gone), T.StructType.fromJson(m["schema"]))
         return {"deleted": len(set(ids)) - len(missing), "not_found": missing}
 
+    @guarded(Permission.UPDATE_METADATA)
     def update_metadata(self, id: int, values: Mapping[str, bool | int | float | str], merge: bool = True) -> None:
         if id == 0 or not values:
             raise InvalidArgument("an id other than 0 and some metadata are needed")
@@ -205,7 +298,11 @@ class Collection:
 
     def clean(self) -> int:
         """Deletes folders that the manifest no longer names; only when no reader of an older version is left."""
-        used = {p for ps in self.manifest["shards"].values() for p in ps}
+        m = self.manifest
+        used = {p for ps in m["shards"].values() for p in ps}
+        for v in self._versions():
+            if v < m["version"]:
+                storage.remove(self.spark, f"{self.path}/manifest-{v}.json")
         n = 0
         for v in storage.children(self.spark, f"{self.path}/data"):
             for s in storage.children(self.spark, f"{self.path}/data/{v}"):
@@ -222,34 +319,81 @@ class Collection:
             raise InvalidArgument(f"query of dimension {m['dimension']} expected, not {len(vector)}")
         return Metric(m["metric"])
 
+    @guarded(Permission.SEARCH)
     def search(self, vector: Sequence[float], top_k: int = DEFAULT_TOP_K, filter: str | Node | None = None, as_of: int | None = None, return_metadata: bool = True) -> DataFrame:
         out = search.knn(self.rows(), vector, top_k, self._query(vector), filter, self._now(as_of))
         return out if return_metadata else out.select("id", "distance")
 
+    def search_cached(self, vector: Sequence[float], top_k: int = DEFAULT_TOP_K, filter: str | Node | None = None, as_of: int | None = None) -> DataFrame:
+        """As ``search``, whose results, at most ``top_k`` rows each, the driver keeps until the collection changes or CACHED later ones have come."""
+        cache = self.engine.cache
+        key = json.dumps([self.name, self.manifest["version"], [float(x) for x in vector], top_k, repr(filter), self._now(as_of)])
+        if key in cache:
+            self.engine.hits += 1
+            cache.move_to_end(key)
+        else:
+            cache[key] = self.search(vector, top_k, filter, as_of).toArrow()
+            while len(cache) > CACHED:
+                cache.popitem(last=False)
+        return self.spark.createDataFrame(cache[key])
+
+    @guarded(Permission.SEARCH)
+    def search_shard(self, shard: int, vector: Sequence[float], top_k: int = DEFAULT_TOP_K, filter: str | Node | None = None, as_of: int | None = None) -> tuple[DataFrame, int]:
+        """(the nearest rows of one shard, the number of its rows, all of which were measured)."""
+        rows = self._read(self.manifest, [shard])
+        return search.knn(rows, vector, top_k, self._query(vector), filter, self._now(as_of)), rows.count()
+
+    @guarded(Permission.RANGE_SEARCH)
     def range_search(self, vector: Sequence[float], radius: float, max_results: int = DEFAULT_RANGE_RESULTS, filter: str | Node | None = None, as_of: int | None = None) -> DataFrame:
         return search.range_search(self.rows(), vector, radius, self._query(vector), max_results, filter, self._now(as_of))
 
+    @guarded(Permission.SEARCH)
     def search_batch(self, queries: DataFrame, top_k: int = DEFAULT_TOP_K, filter: str | Node | None = None, as_of: int | None = None) -> DataFrame:
         return search.knn_join(self.rows(), queries, top_k, self.manifest["metric"], filter, self._now(as_of))
 
+    @guarded(Permission.HYBRID_SEARCH)
     def hybrid_search(self, vector: Sequence[float] | None = None, text: str | None = None, sparse: Mapping[int, float] | None = None, top_k: int = DEFAULT_TOP_K, text_field: str = "text", as_of: int | None = None, **rest) -> DataFrame:
         metric = self._query(vector) if vector is not None else self.manifest["metric"]
         return _hybrid.hybrid(self.rows(), vector, text, sparse, top_k, metric, text_column=text_field, as_of=self._now(as_of), **rest)
 
+    @guarded(Permission.LIST_ROWS)
     def list(self, limit: int = 20, offset: int = 0, as_of: int | None = None) -> tuple[DataFrame, int, bool]:
         """(page, live rows in all, are there more)."""
         rows = self.live(as_of)
         total = rows.count()
         return mutations.page(rows, limit, offset), total, offset + limit < total
 
-    def build_index(self, config: IndexConfig | None = None, path: str | None = None) -> ClusteredIndex | IndexConfig:
-        """A derived table for the clustered kinds; the exact kinds need none and give their resolved configuration back."""
+    def build_index(self, config: IndexConfig | None = None, path: str | None = None, name: str = "default") -> ClusteredIndex | IndexConfig:
+        """A derived table for the clustered kinds, entered in the registry; the exact kinds need none and give their resolved configuration back."""
         m = self.manifest
         rows = self.rows()
         config = config or resolve(m["index_type"], rows.count(), m["dimension"], m["metric"])
         if not config.type.value.startswith("ivf"):
             return config.check()
-        return build_clustered(rows, config).write(path or f"{self.path}/index/v{m['version']}")
+        at = path or f"{self.path}/index/v{m['version']}-{uuid.uuid4().hex[:8]}"
+        built = build_clustered(rows, config).write(at)
+        storage.write_json(self.spark, f"{self.path}/indexes/{check_name(name)}.json", {"path": at, "version": m["version"], "type": config.type.value, "model": built.model()})
+        return built
+
+    def indexes(self) -> dict[str, dict]:
+        """The registry: (path, version of the rows, type) by name."""
+        at = f"{self.path}/indexes"
+        found = {n[:-5]: storage.read_json(self.spark, f"{at}/{n}") for n in storage.children(self.spark, at) if n.endswith(".json")}
+        return {n: {k: v for k, v in x.items() if k != "model"} for n, x in found.items()}
+
+    def index(self, name: str = "default") -> ClusteredIndex:
+        at = f"{self.path}/indexes/{check_name(name)}.json"
+        if not storage.exists(self.spark, at):
+            raise NotFound(name)
+        entry = storage.read_json(self.spark, at)
+        return ClusteredIndex.read(self.spark, entry["path"], entry["model"])
+
+    def drop_index(self, name: str = "default") -> None:
+        entry = self.indexes().get(name)
+        if not entry:
+            raise NotFound(name)
+        storage.remove(self.spark, f"{self.path}/indexes/{name}.json")
+        storage.remove(self.spark, entry["path"])
 
     # --- import
 
@@ -264,15 +408,21 @@ class Collection:
             done = storage.read_json(self.spark, record)
             if done["state"] == "COMPLETED":
                 return done
-        job = {"uri": uri, "collection": self.name, "state": "RUNNING", "job_group": key}
+        if sum(j["state"] == "RUNNING" and j["job_group"] != key for j in self.jobs()) >= MAX_JOBS:
+            raise EngineError(f"{MAX_JOBS} imports are running; try again")
+        job = {"uri": uri, "collection": self.name, "state": "RUNNING", "job_group": key, "rows_read": 0}
         storage.write_json(self.spark, record, job)
         sc = self.spark.sparkContext
         sc.setJobGroup(key, f"import of {uri}", interruptOnCancel=True)
         try:
-            batch = readers[format](self.spark, uri)
-            counts = self.upsert(batch) if mode == "upsert" else {"inserted": batch.count(), "updated": 0}
-            if mode != "upsert":
-                self.insert(batch)
+            with self._staged(readers[format](self.spark, uri)) as batch:
+                job["rows_read"] = batch.count()
+                storage.write_json(self.spark, record, job)
+                if mode == "upsert":
+                    counts = self.upsert(batch)
+                else:
+                    self.insert(batch)
+                    counts = {"inserted": job["rows_read"], "updated": 0}
             job |= {"state": "COMPLETED"} | counts
         except Exception as e:
             job |= {"state": "CANCELLED" if "cancel" in str(e).lower() else "FAILED", "error": str(e)[:500]}

@@ -11,7 +11,11 @@ from enum import Enum
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.types import InvalidArgument
+from vexel.types import EngineError, InvalidArgument
+
+
+class PermissionDenied(EngineError):
+    pass
 
 
 class Permission(str, Enum):

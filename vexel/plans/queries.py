@@ -203,7 +203,10 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_bm25()} select id, score from bm order by score desc, id limit 10")
 def bm25_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.search_index(text.text_index(corpus(spark, sf_dir)), WORDS)
+    """The index is built and stored, then searched where it lies."""
+    at = scratch(spark, "text-index")
+    text.text_index(corpus(spark, sf_dir)).write(at)
+    return text.search_index(text.TextIndex.read(spark, at), WORDS)
 
 
 @query(f"with tok as (select doc_id, {_TOKENS} tk from documents) select term, count(distinct doc_id) df, count(*) occurrences from (select doc_id, unnest(tk) term from tok) group by term")

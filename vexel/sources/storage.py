@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -54,6 +55,22 @@ def write_json(spark: SparkSession, path: str, value: dict, new: bool = False) -
     return fs.rename(aside, p)
 
 
+def create_json(spark: SparkSession, path: str, value: dict) -> bool:
+    """A new file; False if it is there already, so of two writers one is told."""
+    fs, p = _fs(spark, path)
+    try:
+        out = fs.create(p, False)
+    except Py4JJavaError as e:
+        if fs.exists(p):
+            return False
+        raise e
+    try:
+        out.write(bytearray(json.dumps(value).encode()))
+    finally:
+        out.close()
+    return True
+
+
 def rename(spark: SparkSession, a: str, b: str) -> bool:
     fs, p = _fs(spark, a)
     return fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(b))

@@ -12,30 +12,30 @@ from vexel.plans.collection import Collection
 from vexel.sources import storage
 
 
-def _once(collection: Collection, stream: str, apply: Callable[[DataFrame], object]) -> Callable[[DataFrame, int], None]:
-    """Applies a micro-batch unless the collection has a record of it, so that a repeated batch changes nothing."""
-    at = f"{collection.path}/streams/{stream}.json"
-    spark = collection.spark
+def _once(collection: Collection, checkpoint: str, name: str, apply: Callable[[DataFrame, tuple[str, int]], object]) -> Callable[[DataFrame, int], None]:
+    """Applies a micro-batch unless the collection's manifest holds it as applied, so that a repeated batch changes nothing.
+
+    The batch's number is committed in the version that has its rows, under the stream's own id, which a fresh checkpoint
+    has anew.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
-        if storage.exists(spark, at) and storage.read_json(spark, at)["batch"] >= number:
-            return
-        if not batch.isEmpty():
-            apply(batch)
-        storage.write_json(spark, at, {"batch": number})
+        stream = f"{name}:{storage.read_json(collection.spark, f'{checkpoint}/metadata')['id']}"
+        if collection.manifest.get("applied", {}).get(stream, -1) < number and not batch.isEmpty():
+            apply(batch, (stream, number))
 
     return run
 
 
 def upsert_stream(source: DataFrame, collection: Collection, checkpoint: str, name: str = "upsert", seq: str | None = None, available_now: bool = True, every: str = "10 seconds") -> StreamingQuery:
     """Each micro-batch as an upsert; with the checkpoint, every row takes effect once."""
-    writer = source.writeStream.foreachBatch(_once(collection, name, lambda b: collection.upsert(b, seq))).option("checkpointLocation", checkpoint)
+    writer = source.writeStream.foreachBatch(_once(collection, checkpoint, name, lambda b, mark: collection.upsert(b, seq, mark=mark))).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
 
 
 def insert_stream(source: DataFrame, collection: Collection, checkpoint: str, name: str = "insert", available_now: bool = True, every: str = "10 seconds") -> StreamingQuery:
-    """Each micro-batch appended, expiry and sparse vectors included."""
-    writer = source.writeStream.foreachBatch(_once(collection, name, collection.insert)).option("checkpointLocation", checkpoint)
+    """Each micro-batch appended once, expiry and sparse vectors included."""
+    writer = source.writeStream.foreachBatch(_once(collection, checkpoint, name, lambda b, mark: collection.insert(b, mark=mark))).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
 
 
