@@ -4,11 +4,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vexel.operators import hybrid, index, search, text
+from vexel.operators import hybrid, index, placement, search, text
 from vexel.operators.index import resolve
-from vexel.plans import filters, queries
+from vexel.plans import collection_queries, filters, queries  # noqa: F401
 from vexel.plans.collection import Engine
-from vexel.types import AlreadyExists, IndexType, InvalidArgument, NotFound
+from vexel.sources import connector, storage
+from vexel.sources.scratch import scratch
+from vexel.streaming import sink
+from vexel.types import AlreadyExists, EngineError, IndexType, InvalidArgument, NotFound
 
 SF = "/root/testdata/sf0.001"
 
@@ -150,3 +153,119 @@ def test_collection_life(spark, tmp_path):
     engine.drop_collection("shoes")
     with pytest.raises(NotFound):
         engine.collection("shoes")
+
+
+def test_a_stream_applies_a_batch_once_and_another_stream_its_own(spark, tmp_path):
+    c = Engine(spark, str(tmp_path / "c")).create_collection("s", 1)
+    row = lambda i, v: spark.createDataFrame([(i, [0.0], v)], "id long, vector array<float>, v int")
+    c.insert(row(1, 1), mark=("one", 0))
+    assert c.manifest["applied"] == {"one": 0}
+    c.upsert(row(2, 5), mark=("two", 0))
+    c.compact()
+    assert c.manifest["applied"] == {"one": 0, "two": 0}
+    for stream, number, value in (("one", 0, 7), ("one", 1, 8), ("three", 0, 9)):
+        at = tmp_path / stream
+        at.mkdir(exist_ok=True)
+        (at / "metadata").write_text('{"id": "' + stream + '"}')
+        sink._once(c, str(at), "x", lambda b, mark: c.insert(b, mark=mark))(row(10 + value, value), number)
+        sink._once(c, str(at), "x", lambda b, mark: c.insert(b, mark=mark))(row(10 + value, value), number)
+    assert sorted(r["v"] for r in c.rows().collect()) == [1, 5, 7, 8, 9]
+
+
+def test_one_of_two_writers_is_told(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    c = e.create_collection("w", 1)
+    row = spark.createDataFrame([(1, [0.0])], "id long, vector array<float>")
+    old = c.manifest
+    c.insert(row)
+    with pytest.raises(EngineError):
+        c._commit(old, c.rows().schema, {})
+    storage.write_bytes(spark, f"{c.path}/manifest-2.json", b"{")
+    assert c.rows().count() == 1
+    with pytest.raises(EngineError):
+        c.insert(row)
+    assert c.recover() == 1
+    c.insert(row)
+    assert c.rows().count() == 2 and c.clean() >= 0 and c.manifest["version"] == 2
+    with pytest.raises(InvalidArgument):
+        c.insert_rows([])
+    c.insert_rows([{"id": 5, "vector": [1.0], "name": "n"}])
+    assert c.get([5])[0].first()["name"] == "n"
+    with pytest.raises(AlreadyExists):
+        e.create_collection("w", 1)
+
+
+def test_imports_fail_whole_and_wait_their_turn(spark, tmp_path):
+    c = Engine(spark, str(tmp_path / "c")).create_collection("i", 2)
+    for name, width in (("good", 2), ("bad", 3)):
+        spark.range(3).select("id", F.array(*[F.lit(1.0).cast("float")] * width).alias("vector")).write.parquet(str(tmp_path / name))
+    with pytest.raises(Exception, match="dimension"):
+        c.bulk_import(str(tmp_path / "bad"))
+    assert [j["state"] for j in c.jobs()] == ["FAILED"] and c.rows().count() == 0
+    with pytest.raises(InvalidArgument):
+        c.bulk_import(str(tmp_path / "good"), "xml")
+    for k in range(4):
+        storage.write_json(spark, f"{c.path}/jobs/other-{k}.json", {"state": "RUNNING", "job_group": f"other-{k}"})
+    with pytest.raises(EngineError, match="running"):
+        c.bulk_import(str(tmp_path / "good"))
+    for k in range(4):
+        storage.remove(spark, f"{c.path}/jobs/other-{k}.json")
+    job = c.bulk_import(str(tmp_path / "good"), mode="stream_insert")
+    assert (job["state"], job["inserted"], job["rows_read"]) == ("COMPLETED", 3, 3) and not [n for n in storage.children(spark, c.path) if n.startswith("staged")]
+
+
+def test_deep_legs_of_hybrid_search(spark):
+    df = spark.range(2500).select("id", F.array(F.col("id").cast("float")).alias("vector"), F.when(F.col("id") >= 1200, "word").otherwise("none").alias("text"))
+    got = hybrid.hybrid(df, [0.0], "word", k=600).collect()
+    ranks = [{i: i + 1 for i in range(1800)}, {i: i - 1199 for i in range(1200, 2500)}]
+    score = {i: round(sum(0.5 / (60 + leg[i]) for leg in ranks if i in leg), 6) for i in range(2500)}
+    assert [r["id"] for r in got] == sorted(score, key=lambda i: (-score[i], i))[:600]
+
+
+def test_retries_and_placement():
+    waits = []
+    with pytest.raises(OSError):
+        connector.retried(lambda: (_ for _ in ()).throw(OSError()), 3, sleep=waits.append)
+    assert waits == [0.5, 1.0]
+    with pytest.raises(InvalidArgument):
+        connector.retried(lambda: (_ for _ in ()).throw(InvalidArgument("no")), sleep=waits.append)
+    assert len(waits) == 2
+    few, more = placement.ring(["a", "b", "c"]), placement.ring(["a", "b", "c", "d"])
+    moved = [(placement.ring_node(str(k), few), placement.ring_node(str(k), more)) for k in range(4000)]
+    assert all(b in (a, "d") for a, b in moved) and 0.15 < np.mean([a != b for a, b in moved]) < 0.35
+    assert placement.rebalance({}, []) == [] and placement.rebalance({1: ("a", 9)}, ["a", "b"]) == []
+
+
+@pytest.mark.parametrize("qjl", [False, True])
+@pytest.mark.parametrize("bits, least", [(1, 0.55), (2, 0.7), (4, 0.93), (8, 0.99)])
+def test_rotation_codes_keep_directions(bits, least, qjl):
+    rng = np.random.default_rng(bits)
+    x, codec = rng.standard_normal((200, 48)), index.RotationCodec(48, bits, qjl)
+    codes = codec.encode(x)
+    assert codes.shape == (200, codec.width)
+    y = codec.decode(codes)
+    cos = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+    assert cos.min() >= least and index.gaussian_levels(8)[[0, -1]].tolist() == [-3.5 + 3.5 / 256, 3.5 - 3.5 / 256]
+    g, length = codec.inners(codes, x[:5])
+    assert np.allclose(length, np.sqrt((x * x).sum(axis=1)), rtol=1e-6) and np.corrcoef(g.ravel(), (x[:5] @ x.T).ravel())[0, 1] > (0.7 if bits == 1 or qjl else 0.9)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Conf:
+        def get(self, _):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="share"):
+        scratch(Session())
