@@ -247,7 +247,15 @@ def test_rotation_codes_keep_directions(bits, least, qjl):
     cos = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
     assert cos.min() >= least and index.gaussian_levels(8)[[0, -1]].tolist() == [-3.5 + 3.5 / 256, 3.5 - 3.5 / 256]
     g, length = codec.inners(codes, x[:5])
-    assert np.allclose(length, np.sqrt((x * x).sum(axis=1)), rtol=1e-6) and np.corrcoef(g.ravel(), (x[:5] @ x.T).ravel())[0, 1] > (0.7 if bits == 1 or qjl else 0.9)
+    assert np.allclose(length, np.sqrt((x * x).sum(axis=1)), rtol=1e-6)
+    assert qjl or np.corrcoef(g.ravel(), (x[:5] @ x.T).ravel())[0, 1] > (0.75 if bits == 1 else 0.9)
+
+
+def test_signs_of_what_is_lost_make_inner_products_right_on_average():
+    rng = np.random.default_rng(0)
+    x, q = rng.standard_normal((20, 48)), rng.standard_normal((1, 48))
+    found = np.array([(lambda c: c.inners(c.encode(x), q)[0][0])(index.RotationCodec(48, 1, True, seed)) for seed in range(400)])
+    assert (np.abs(found.mean(axis=0) - x @ q[0]) <= 4.5 * found.std(axis=0) / 20).all()
 
 
 def test_scratch_needs_a_shared_folder_on_a_cluster():
