@@ -10,6 +10,7 @@ import math
 import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -162,6 +163,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return y.reshape(len(x), n) / math.sqrt(n)
 
 
+@cache
 def gaussian_levels(bits: int) -> np.ndarray:
     """The 2**bits values that lose least of a standard normal variable; for 8 bits, the middles of 256 cells up to 3.5."""
     if bits == 8:
