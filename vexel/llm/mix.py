@@ -92,7 +92,8 @@ def mix_schedule(docs: DataFrame, weights: dict[str, float] | None = None, text:
     table gives an empty schedule. Very long documents run over as many blocks as they need. Extra columns are not read.
     """
     need(docs, text, doc_id, source)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), _source(source).alias("s"), word_count(text).alias("n"))
+    # Without the texts the rows are narrow, so their words are counted once, for sums and places alike.
+    rows = settled(docs.select(F.col(doc_id).alias("doc_id"), _source(source).alias("s"), word_count(text).alias("n")))
     placed, sources, names = _placed(rows, F.col("s"), "doc_id", F.col("n"), block_tokens, seed, ["doc_id"])
     src, n, start = names["src"], names["n"], names["start"]
     sources = settled(sources)
