@@ -38,7 +38,7 @@ def test_pipeline_is_its_stages_by_brute_force(spark):
 
 def test_stages_on_odd_and_empty_tables(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    rows = [(1, "words that are the same", "en", "a", 9), (1, "words that are the same", "en", "a", 9), (2, "", None, None, None), (3, None, None, None, None), (None, "no id", "en", "b", 5)]
+    rows = [(1, "words that are the same", "en", "a", 9), (1, "words that are the same", "en", "a", 9), (2, "", None, None, None), (3, None, None, None, None), (None, "no id", "en", "b", 5), (6, "A sentence that goes on and on. " * 20_000, "en", "b", 5), (7, "x" * 300_000, "en", "b", 5)]
     for k, data in enumerate((rows, [])):
         docs = spark.createDataFrame(data, schema).withColumns({c: F.lit(1) for c in ("id", "key", "shard", "H")})
         for n, (name, stage) in enumerate(corpus_pipeline.STAGES):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import tempfile
 import uuid
@@ -43,10 +44,12 @@ def need(df: DataFrame, *names: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset a local one, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir, or where that is unset a local one if there are no other machines, as in tests."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="vexel-"))
         at = sc.getCheckpointDir()
     return at.rstrip("/")

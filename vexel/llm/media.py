@@ -183,12 +183,21 @@ def media_tiles(media: DataFrame, data: str = "media", media_id: str = "media_id
 
 
 def write_tiles(tiles: DataFrame, path: str) -> None:
-    """Writes the tiles to ``path`` as a table of NPY files, one a row with its id and hash, partitioned by format; any executor can write its part."""
+    """Writes the tiles to ``path`` as a table of NPY files, one a row with its id and hash, partitioned by format; any executor can write its part.
+
+    Rows without a tile are left out, null ids and repeated rows are written as they are, and an empty table writes none.
+    ``path`` must not be there yet. Extra columns are not written.
+    """
     tiles.filter("tile is not null").select("media_id", "dhash", "format", "tile").write.partitionBy("format").parquet(path)
 
 
 def embedding_images(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(media_id, media): each vector as an image, its values scaled to 0 to 255 in rows of 8, in turn as PGM, plain PGM, PPM, plain PPM, BMP and top-down BMP."""
+    """(media_id, media): each vector as an image, its values scaled to 0 to 255 in rows of 8, in turn as PGM, plain PGM, PPM, plain PPM, BMP and top-down BMP.
+
+    Null vectors, empty ones and those without a finite value have a null image; other values that are null or not finite
+    are left out of theirs. A null id counts as 0 for the format. A long vector has more rows of 8, equal ones give equal
+    images, repeated rows are drawn each. An empty table gives an empty one; extra columns are not read.
+    """
     need(embeddings, vec_id, embedding)
     rows = embeddings.select(F.col(vec_id).alias("media_id"), F.col(embedding).alias("v"))
     schema = T.StructType([rows.schema["media_id"], T.StructField("media", T.BinaryType())])
