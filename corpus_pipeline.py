@@ -36,27 +36,50 @@ def _stage(f: Stage) -> Stage:
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null, empty and blank texts have quality 0 and go, unless no labels of both kinds are there, when the cut is 0.5 of a
+    model that says good: then texts with a line stay. Very long texts are scored whole. Equal texts, so repeated rows,
+    stand or fall together. Null ids play no part; extra columns are kept. No rows give none.
+    """
     return quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one stays."""
+    """Of equal texts one stays, that of the smallest id.
+
+    Null texts all stay; a row without an id comes after all that have one. Empty texts are equal to each other, as are
+    very long ones if they are to the last byte. Of rows that repeat an id and text one stays. Extra columns are kept. No
+    rows give none.
+    """
     return _exact_dedup(docs)
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one document stays."""
+    """Of each group of near copies one document stays, that of the smallest id.
+
+    Null texts, texts without a word and rows without an id all stay. Whole texts are compared, however long. Rows that
+    repeat an id and text stand or fall together. Extra columns are kept. No rows give none.
+    """
     return _near_dedup(docs)
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of small sources are repeated until the sources have their target weights; none is lost."""
+    """Documents of small sources are repeated until the sources have their target weights; none is lost.
+
+    A null source is a source of its own. Null and empty texts go with the block at their place, very long ones with the
+    block that they begin in. Ties of the shuffle go by id, then length; repeated rows each have a place. Extra columns
+    are kept. No rows give none.
+    """
     return mix_documents(docs)
 
 
 def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of training sequences, with the documents in each."""
+    """Bins of training sequences, with the documents in each.
+
+    Null and empty texts are in no bin; long ones are cut into pieces that fill bins. Pieces of a length go by id, then
+    start, null ids last; repeated rows are packed each. Extra columns are not read. No rows give no bins.
+    """
     return pack(docs)
 
 
