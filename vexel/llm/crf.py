@@ -27,7 +27,7 @@ SAMPLE = 3000
 #: In choosing the cut, losing a good document weighs so many times as much as keeping a bad one (both as rates).
 CARE = 4.0
 #: Rows and bytes of text that are scored in one go, to bound a task's memory.
-BATCH, BATCH_BYTES = 1500, 8 << 20
+BATCH, BATCH_BYTES = 1500, 2 << 20
 #: In training, a line of a bad document is good above PARDON, one of a good document bad up to BLAME, settled in so many turns.
 PARDON, BLAME, TURNS = 0.65, 0.02, 3
 

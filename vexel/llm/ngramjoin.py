@@ -33,7 +33,7 @@ STEP = 18
 BLOCK = 1024
 VERIFY_ROWS = 400
 #: Rows and bytes of text that are hashed in one go, to bound a task's memory.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def minhash_seeds(k: int = ROWS * BANDS, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
