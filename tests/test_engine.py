@@ -21,6 +21,16 @@ def test_query_has_the_rows_of_its_sql(name, same):
     same(queries.QUERIES[name], queries.SQL[name], SF)
 
 
+@pytest.mark.parametrize("name", ["ttl_live", "ttl_sweep_count", "compaction"])
+def test_expiry_at_parts_of_a_second(name, same, tmp_path):
+    import duckdb
+
+    # Events that expire within a second of the time they are asked for, at 0.1 to 0.9 s and at halves.
+    begin = (queries.AS_OF - 86_400) * 1_000_000
+    duckdb.sql(f"copy (select i event_id, make_timestamp({begin} + (i - 40) * 50000) ts, i % 7 user_id, 'click' event_type, 1.0::double \"value\", '{{\"k\": 1}}' props from range(80) t(i)) to '{tmp_path}/events.parquet'")
+    same(queries.QUERIES[name], queries.SQL[name], str(tmp_path))
+
+
 def test_approximate_search_finds_most_neighbours(spark):
     recalls = {r["name"]: r["recall"] for q in ("ivf_probe_recall", "turboquant_recall") for r in queries.QUERIES[q](spark, SF).collect()}
     assert recalls["ivf_flat"] >= 0.9 and recalls["turboquant_8"] >= 0.9
