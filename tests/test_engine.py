@@ -135,6 +135,41 @@ def test_nearest_of_near_copies_with_large_norms():
     assert got.tolist() == np.argsort(x[:, 0])[:10].tolist()
 
 
+@pytest.mark.parametrize("metric", ["l2", "inner_product", "cosine"])
+def test_nearest_of_odd_rows_is_brute_force(metric):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((6000, 8)).astype(np.float32)
+    x[:40] = 0
+    x[40:400] = x[40]
+    x[5000:5100] *= 1e6
+    x[5200:5500] = np.round(x[5200:5500]) + np.float32(1e4)
+    ids, q = rng.permutation(6000), np.concatenate([x[:2], x[40:42], x[4998:5002], x[5200:5210]])
+    row, got, d = search._nearest(x, ids, q, 10, metric)
+    for j in range(len(q)):
+        all_d = np.floor(search.exact(x.astype(float), np.broadcast_to(q[j].astype(float), x.shape), metric) * 1e6 + 0.5) / 1e6
+        want = np.lexsort((ids, all_d))[:10]
+        assert got[row == j].tolist() == ids[want].tolist() and d[row == j].tolist() == all_d[want].tolist()
+
+
+def test_join_measures_few_of_many_copies(monkeypatch):
+    """Pairs that are measured grow with the neighbours that are asked for, not with the copies of a row."""
+    rng, measured = np.random.default_rng(7), []
+    x = np.concatenate([np.ones((9000, 16)), rng.standard_normal((9000, 16))]).astype(np.float32)
+    exact = search.exact
+    monkeypatch.setattr(search, "exact", lambda a, b, m: (measured.append(len(a)), exact(a, b, m))[1])
+    row, got, _ = search._nearest(x, np.arange(18000)[::-1].copy(), x[:600], 10, "l2")
+    assert sum(measured) < 600 * 400 and got[row == 7].tolist() == list(range(9000, 9010))
+
+
+def test_bins_of_a_join_are_bounded_whatever_the_cores(spark, monkeypatch):
+    """Bins follow the rows: a join in many small bins has the rows of the join in one."""
+    rows = queries.vectors(spark, SF)
+    asked = rows.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    monkeypatch.setattr(search, "TILE", 64 * 90)
+    got = search.knn_join(rows, asked, 5, "l2", sent=1)
+    assert sorted(map(tuple, got.select("query_id", "id", "distance", "rank").collect())) == sorted(map(tuple, search.knn_join(rows, asked, 5, "l2").select("query_id", "id", "distance", "rank").collect()))
+
+
 @pytest.mark.parametrize("count, kind", [(9_999, "flat"), (10_000, "hnsw"), (499_999, "hnsw"), (500_000, "ivf_sq"), (1_000_000, "ivf_turboquant"), (100_000_000, "ivf_turboquant")])
 def test_index_choice(count, kind):
     assert resolve("auto", count, 128, "l2").type.value == kind
