@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vexel.functions.distance import distance, pairwise
-from vexel.operators.search import DIGITS, _matrix, _nearest, knn, ranked, select_rows
+from vexel.functions.distance import exact, pairwise
+from vexel.operators.search import DIGITS, Rough, _matrix, _round, _values, closest, exact_levels, few_copies, knn, select_rows, tiled
 from vexel.plans.filters import Node
-from vexel.types import DEFAULT_TOP_K, IndexType, InvalidArgument, Metric, check_dimension, check_top_k
+from vexel.types import DEFAULT_TOP_K, ZERO_NORM, IndexType, InvalidArgument, Metric, check_dimension, check_top_k
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -117,15 +117,20 @@ class ScalarCodec:
         return len(self.low)
 
 
+def nearest_centre(c: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The number of the row of c that is nearest to each row of x, in parts so that few products are held at a time."""
+    half = (c * c).sum(axis=1) / 2
+    return np.concatenate([np.argmax(x[i : i + 8192] @ c.T - half, axis=1) for i in range(0, max(1, len(x)), 8192)])
+
+
 def lloyd(x: np.ndarray, k: int, rounds: int = 20, seed: int = 42) -> np.ndarray:
     """k centroids of a sample by Lloyd's iteration; fewer rows than k are repeated."""
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
-        own = np.argmin(pairwise(c, x, "l2"), axis=1)
+        own = nearest_centre(c, x)
         count = np.bincount(own, minlength=k)
-        sums = np.zeros_like(c)
-        np.add.at(sums, own, x)
+        sums = np.stack([np.bincount(own, x[:, i], k) for i in range(x.shape[1])], axis=1)
         c[count > 0] = sums[count > 0] / count[count > 0][:, None]
     return c
 
@@ -142,7 +147,7 @@ class ProductCodec:
 
     def encode(self, x: np.ndarray) -> np.ndarray:
         parts = np.split(x, len(self.books), axis=1)
-        return np.stack([np.argmin(pairwise(b, p, "l2"), axis=1) for b, p in zip(self.books, parts, strict=True)], axis=1).astype(np.uint8)
+        return np.stack([nearest_centre(b, p) for b, p in zip(self.books, parts, strict=True)], axis=1).astype(np.uint8)
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], axis=1)
@@ -246,6 +251,21 @@ class RotationCodec:
         return g * length, length
 
 
+    def forms(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows whose products with ``turned`` queries are the estimates, squared lengths)."""
+        length, y, rest = self._read(codes)
+        y = y * length[:, None]
+        if self.qjl:
+            size = np.ascontiguousarray(rest[:, :4]).view("<f4").ravel().astype(np.float64)
+            sign = np.unpackbits(rest[:, 4:], axis=1)[:, : self.projections] * 2.0 - 1
+            y = np.concatenate([y, (math.sqrt(math.pi / 2) / self.projections * size * length)[:, None] * sign], axis=1)
+        return y, length * length
+
+    def turned(self, q: np.ndarray) -> np.ndarray:
+        q = self.rotate(q)
+        return np.concatenate([q, q @ self.matrix.T], axis=1) if self.qjl else q
+
+
 Codec = ScalarCodec | ProductCodec | RotationCodec
 
 
@@ -323,49 +343,82 @@ def quantised_knn(df: DataFrame, codec: Codec, query: Sequence[float], k: int =
     return knn(chosen, query, k, metric, id=id, vector=vector)
 
 
-def _join(left: DataFrame, right: DataFrame, by: list[str], codec: Codec | None, n: int, k: int, metric: Metric, rescore: int) -> DataFrame:
-    """(query_id, id, distance, rank) over the groups both sides share: left has id, vector and code, right query_id and query_vector."""
-    want = k * rescore if codec is not None and rescore else k
-    name = metric.value
-
-    def tile(x: pa.Table, q: pa.Table) -> pa.Table:
-        if not len(x) or not len(q):
-            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
-        ids, asked, qid = x.column("id").to_numpy(), _matrix(q.column("query_vector"), n), q.column("query_id").to_numpy()
-        if codec is None:
-            row, own, d = _nearest(_matrix(x.column("vector"), n), ids, asked, want, name)
-            return pa.table({"query_id": qid[row], "id": own, "distance": d})
-        codes = np.frombuffer(b"".join(x.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
-        parts, step = [], max(1, (1 << 21) // len(x))
-        for i in range(0, len(asked), step):
-            d = np.round(estimates(codec, codes, asked[i : i + step], name), DIGITS)
-            # All ties at the last place stay until ids decide.
-            limit = np.partition(d, want - 1, axis=1)[:, want - 1 : want] if want < len(x) else np.inf
-            row, pick = np.nonzero(~(d > limit))
-            own, d = ids[pick], d[row, pick]
-            order = np.lexsort((own, d, row))
-            order = order[np.arange(len(order)) - np.searchsorted(row, row) < want]
-            parts.append((qid[i + row[order]], own[order], d[order]))
-        return pa.table(dict(zip(("query_id", "id", "distance"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
-
-    held = left.select("id", "vector" if codec is None else "code", *by)
-    found = ranked(held.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(tile, "query_id long, id long, distance double"), "query_id", want)
-    if codec is None or not rescore:
-        return found
-    vectors = left.select("id", "vector").distinct() if "qb" in by else left.select("id", "vector")
-    asked = right.select("query_id", "query_vector").dropDuplicates(["query_id"])
-    near = found.select("query_id", "id").join(vectors, "id").join(asked, "query_id")
-    return ranked(near.select("query_id", "id", F.round(distance(F.col("vector"), F.col("query_vector"), metric), DIGITS).alias("distance")), "query_id", k)
+def _estimated(codec: Codec, codes: np.ndarray, q: np.ndarray, metric: str) -> tuple[list[Rough], Callable[[np.ndarray, np.ndarray], np.ndarray]]:
+    """What ``closest`` needs to rank rows by the estimates from their codes."""
+    if isinstance(codec, RotationCodec):
+        (y, square), turned = codec.forms(codes), codec.turned(q)
+    else:
+        y, turned = codec.decode(codes), q
+        square = (y * y).sum(axis=1)
+    qq = (q * q).sum(axis=1)
+    length, nq = np.sqrt(square), np.sqrt(qq)
+
+    def measure(c: np.ndarray, r: np.ndarray) -> np.ndarray:
+        g = (y[c] * turned[r]).sum(axis=1)
+        if metric == "inner_product":
+            return -g
+        if metric == "l2":
+            return np.sqrt(np.maximum(square[c] + qq[r] - 2 * g, 0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cos = 1 - np.clip(g / (length[c] * nq[r]), -1, 1)
+        return np.where((length[c] < ZERO_NORM) | (nq[r] < ZERO_NORM), 2.0, cos)
+
+    good = np.isfinite(square).all() and np.isfinite(qq).all() and len(y) and len(q)
+    return [Rough(y, square, turned, qq, metric, np.float32), Rough(y, square, turned, qq, metric, np.float64)] if good else [], measure
+
+
+def _join(rows: DataFrame, asked: DataFrame, codec: Codec | None, n: int, k: int, metric: Metric, rescore: int, centroids: np.ndarray | None = None, nprobe: int = 0, sure: bool = False) -> DataFrame:
+    """(query_id, id, distance, rank) of rows (id, vector and, where they are used, code and cluster) and queries (query_id, query_vector).
+
+    With centroids a query meets the rows of the ``nprobe`` nearest clusters. Estimates of the codes choose the
+    rescore * k rows that are then measured, or with ``sure`` codes only leave out what can't be among the k nearest.
+    """
+    want, name = k * rescore if codec is not None and rescore and not sure else k, metric.value
+
+    def near(x: pa.Table, q: pa.Table) -> tuple[np.ndarray, ...]:
+        v, ids, asked = _values(x.column("vector"), n), x.column("id").to_numpy(), _matrix(q.column("query_vector"), n)
+        kept = few_copies(v, ids, want)
+        cluster = None if centroids is None else x.column("cluster").to_numpy()[kept]
+        if cluster is not None:
+            kept = kept[np.argsort(cluster, kind="stable")]
+            cluster = np.sort(cluster)
+        v, ids = v[kept], ids[kept]
+        if cluster is None:
+            cuts, meets = [(0, len(v), 0)], None
+        else:
+            begins = np.flatnonzero(np.diff(cluster, prepend=-1))
+            cuts = list(zip(begins.tolist(), np.append(begins[1:], len(v)).tolist(), cluster[begins].tolist(), strict=True))
+            meets = np.zeros((len(asked), len(centroids)), bool)
+            np.put_along_axis(meets, _probes(centroids, asked, nprobe, metric), True, axis=1)
+        true = lambda c, r: exact(v[c].astype(np.float64), asked[r], name)
+        codes = None if codec is None else np.frombuffer(b"".join(x.column("code").take(pa.array(kept)).to_pylist()), np.uint8).reshape(len(v), -1)
+        if codes is None or sure:
+            levels = exact_levels(v, asked, name)
+            if codes is not None and levels and metric is Metric.L2:
+                y = codec.decode(codes)
+                lost = np.sqrt(((v - y) ** 2).sum(axis=1)) * (1 + 1e-9) + 1e-12
+                levels = [Rough(y, (y * y).sum(axis=1), asked, (asked * asked).sum(axis=1), name, np.float32, lost), *levels]
+            row, place, d = closest(ids, len(asked), k, levels, true, cuts, meets)
+            return row, ids[place], d, d
+        row, place, d = closest(ids, len(asked), want, *_estimated(codec, codes, asked, name), cuts, meets)
+        return row, ids[place], d, _round(true(place, row)) if rescore else d
+
+    held = rows.select("id", "vector", *(["code"] if codec is not None else []), *(["cluster"] if centroids is not None else []))
+    return tiled(held, asked, n, k, want, near)
 
 
 def quantised_join(df: DataFrame, codec: Codec, queries: DataFrame, dimension: int, k: int = DEFAULT_TOP_K, metric: Metric | str = Metric.L2, rescore: int = 0) -> DataFrame:
     """``quantised_knn`` for every row of (query_id, query_vector), in tiles of coded rows and queries."""
-    b = df.sparkSession.sparkContext.defaultParallelism
-    every = F.sequence(F.lit(0).cast("long"), F.lit(b - 1).cast("long"))
     rows = df.select(F.col("id").cast("long").alias("id"), "vector", "code")
-    left = rows.withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(b).cast("long"))).withColumn("qb", F.explode(every))
-    right = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(b).cast("long"))).withColumn("bb", F.explode(every))
-    return _join(left, right, ["bb", "qb"], codec, dimension, check_top_k(k), Metric.of(metric), rescore)
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "query_vector")
+    return _join(rows, asked, codec, dimension, check_top_k(k), Metric.of(metric), rescore)
+
+
+def _probes(centroids: np.ndarray, q: np.ndarray, n: int, metric: Metric) -> np.ndarray:
+    """The n nearest clusters of each query, nearest first."""
+    if metric is not Metric.L2:
+        q = q / np.maximum(1e-12, np.sqrt((q * q).sum(axis=1)))[:, None]
+    return np.argsort(pairwise(centroids, q, "l2"), axis=1, kind="stable")[:, :n]
 
 
 @dataclass
@@ -378,11 +431,10 @@ class ClusteredIndex:
     codec: Codec | None
 
     def probes(self, query: Sequence[float], nprobe: int | None = None) -> list[int]:
-        q = np.asarray(query, dtype=np.float64)[None]
-        n = min(nprobe or self.config.nprobe, len(self.centroids))
-        if self.config.metric is not Metric.L2:
-            q = q / max(1e-12, float(np.sqrt((q * q).sum())))
-        return np.argsort(pairwise(self.centroids, q, "l2")[0], kind="stable")[:n].tolist()
+        return _probes(self.centroids, np.asarray(query, dtype=np.float64)[None], self._n(nprobe), self.config.metric)[0].tolist()
+
+    def _n(self, nprobe: int | None) -> int:
+        return min(nprobe or self.config.nprobe, len(self.centroids))
 
     def search(self, query: Sequence[float], k: int = DEFAULT_TOP_K, nprobe: int | None = None, rescore: int = 4, filter: str | Node | None = None, as_of: int | None = None, id: str = "id", vector: str = "vector") -> DataFrame:
         """Only the partitions of the nearest clusters are read."""
@@ -391,21 +443,14 @@ class ClusteredIndex:
             return knn(near, query, k, self.config.metric, filter, as_of, id, vector)
         return quantised_knn(near, self.codec, query, k, self.config.metric, rescore, filter, as_of, id, vector)
 
-    def join(self, queries: DataFrame, k: int = DEFAULT_TOP_K, nprobe: int | None = None, rescore: int = 4) -> DataFrame:
-        """``search`` for every row of (query_id, query_vector): each query meets the rows of the clusters it probes."""
-
-        def probed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in stream:
-                near = [self_probes(v) for v in _matrix(batch.column(1), n)]
-                at = pa.array(np.repeat(np.arange(batch.num_rows), [len(c) for c in near]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([c for own in near for c in own], pa.int32())], names=["query_id", "query_vector", "cluster"])
+    def join(self, queries: DataFrame, k: int = DEFAULT_TOP_K, nprobe: int | None = None, rescore: int = 4, sure: bool = False) -> DataFrame:
+        """``search`` for every row of (query_id, query_vector): each query meets the rows of the clusters it probes.
 
-        n, bare = self.config.dimension, ClusteredIndex(self.config, None, self.centroids, None)  # type: ignore[arg-type]
-        self_probes = lambda v: bare.probes(v, nprobe)
+        With ``sure`` every row of these clusters is measured that its code doesn't rule out, so that none of the k nearest is missed.
+        """
         asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "query_vector")
-        right = asked.mapInArrow(probed, T.StructType([*asked.schema.fields, T.StructField("cluster", T.IntegerType())]))
-        left = self.rows.withColumn("id", F.col("id").cast("long")).withColumn("cluster", F.col("cluster").cast("int"))
-        return _join(left, right, ["cluster"], self.codec, n, check_top_k(k), self.config.metric, rescore)
+        rows = self.rows.withColumn("id", F.col("id").cast("long")).withColumn("cluster", F.col("cluster").cast("int"))
+        return _join(rows, asked, self.codec, self.config.dimension, check_top_k(k), self.config.metric, rescore, self.centroids, self._n(nprobe), sure)
 
     def model(self) -> dict:
         """What a stored index needs besides its table, as values that JSON can hold."""

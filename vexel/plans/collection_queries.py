@@ -383,7 +383,7 @@ def _whole(spark: SparkSession, sf_dir: str, kind: IndexType, **rest) -> DataFra
     asked = rows.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
     c = filled(spark, sf_dir)
     c.build_index(index.IndexConfig(kind, 64, nlist=4, nprobe=4, **rest))
-    found = c.index().join(asked, 10, rescore=200)
+    found = c.index().join(asked, 10, rescore=200, sure=True)
     return found.select("query_id", "id", "distance", "rank")
 
 
