@@ -61,6 +61,38 @@ def test_approximate_join_is_the_search_of_each_row(spark, kind):
         assert [g for g in got if g[0] == r["id"]] == want
 
 
+@pytest.mark.parametrize("kind", ["ivf_sq", "ivf_pq", "ivf_turboquant"])
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_sure_join_misses_no_neighbour_that_codes_misplace(spark, kind, metric):
+    """Coarse codes rank some of the nearest rows far beyond the rescore * k best estimates; copies and a zero row are there too."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((900, 16)).astype(np.float32)
+    x[700:720], x[5] = x[1], 0
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>").cache()
+    config = index.IndexConfig(IndexType(kind), 16, search.Metric.of(metric), nlist=3, nprobe=3, pq_bits=1, bits=1)
+    asked = rows.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    found = lambda d: sorted(tuple(r) for r in d.select("query_id", "rank", "id", "distance").collect())
+    built = index.build_clustered(rows, config)
+    want = found(search.knn_join(rows, asked, 5, metric))
+    assert found(built.join(asked, 5, rescore=2, sure=True)) == want
+    assert kind == "ivf_sq" or found(built.join(asked, 5, rescore=2)) != want
+
+
+@pytest.mark.parametrize("metric", ["l2", "inner_product", "cosine"])
+@pytest.mark.parametrize("kind, qjl", [("ivf_sq", False), ("ivf_pq", False), ("turboquant", False), ("turboquant", True)])
+def test_ranks_by_estimates_are_those_of_all_estimates(kind, qjl, metric):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((5000, 16)).astype(np.float32)
+    q, ids = x[:20].astype(float), rng.permutation(5000)
+    codec = index.RotationCodec(16, 2, qjl) if kind == "turboquant" else index.ProductCodec.fit(x.astype(float), 4, 4) if kind == "ivf_pq" else index.ScalarCodec(x.min(axis=0).astype(float), x.max(axis=0).astype(float))
+    codes = codec.encode(x.astype(float))
+    d = np.round(index.estimates(codec, codes, q, metric), 6)
+    row, place, got = search.closest(ids, 20, 30, *index._estimated(codec, codes, q, metric), [(0, 5000, 0)])
+    for j in range(20):
+        want = np.lexsort((ids, d[j]))[:30]
+        assert np.allclose(got[row == j], d[j][want], atol=2e-6) and np.mean(np.isin(place[row == j], want)) >= 0.96
+
+
 @pytest.mark.parametrize(
     "expression, row, result",
     [
