@@ -131,6 +131,27 @@ def test_bm25_scores(spark):
     assert not text.bm25(df, "absent").collect() and not text.bm25(df.limit(0), "fox").collect() and not text.bm25(df, "").collect()
 
 
+def test_text_index_packs_the_postings_of_a_term(spark, tmp_path):
+    """A stored term is a row for each part of the documents, not one for each document; letters that only turn into ASCII ones are no tokens."""
+    texts = [f"Apple apple w{i} \u212a{'b' * (i % 3)}" for i in range(300)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(2)
+    text.text_index(df).write(str(tmp_path / "i"))
+    got = text.TextIndex.read(spark, str(tmp_path / "i"))
+    assert spark.read.parquet(str(tmp_path / "i" / "postings")).filter("term = 'apple'").count() <= 2
+    own = {(r["id"], r["term"]): (r["tf"], r["dl"]) for r in got.postings.collect()}
+    assert len(own) == 300 * 2 + 200 and own[4, "apple"] == (2, 4) and own[4, "b"] == (1, 4) and own[3, "apple"] == (2, 3)
+    assert {r["term"]: r["df"] for r in got.terms.filter("df > 1").collect()} == {"apple": 300, "b": 100, "bb": 100}
+    both = [[tuple(r) for r in found.collect()] for found in (text.search_index(got, "b w4 w5"), text.bm25(df, "b w4 w5"))]
+    assert both[0] == both[1]
+
+
+def test_text_index_of_repeated_ids_counts_equally_long_rows_together(spark):
+    df = spark.createDataFrame([(1, "a b a"), (1, "a c d"), (1, "a"), (2, "b")], "id long, text string")
+    got = text.text_index(df)
+    assert sorted((r["id"], r["dl"], r["term"], r["tf"]) for r in got.postings.collect()) == [(1, 1, "a", 1), (1, 3, "a", 3), (1, 3, "b", 1), (1, 3, "c", 1), (1, 3, "d", 1), (2, 1, "b", 1)]
+    assert {r["term"]: r["df"] for r in got.terms.collect()} == {"a": 2, "b": 2, "c": 1, "d": 1} and got.totals.first()["n"] == 4
+
+
 def test_hybrid_fuses_three_legs(spark):
     rows = [(1, [1.0, 0, 0, 0], "running shoes marathon", [(0, 1.0), (5, 0.8), (10, 0.3)]), (2, [0.0, 1, 0, 0], "basketball sneakers", [(1, 1.0), (6, 0.9)]), (3, [0.0, 0, 1, 0], "hiking boots mountain", [(2, 1.0)]), (4, [0.0, 0, 0, 1], "running gear fitness", [(0, 0.9), (8, 1.0)]), (5, [0.9, 0.1, 0, 0], "casual walking shoes", [(3, 1.0), (5, 0.6)])]
     df = spark.createDataFrame([(i, list(map(float, v)), t, s) for i, v, t, s in rows], "id long, vector array<float>, text string, sparse array<struct<idx: long, val: float>>")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+import sys
+from collections import Counter
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,11 +19,15 @@ from vexel.plans.filters import Node
 from vexel.sources.scratch import settled
 from vexel.types import DEFAULT_TOP_K, check_sparse, check_top_k
 
+# Workers need not have this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 K1, B = 1.2, 0.75
 
 
 #: Runs of ASCII letters and digits, lower-cased after they are cut, so that no other letter can turn into one.
 TOKEN = "[0-9A-Za-z]+"
+_TOKEN = re.compile(b"[0-9a-z]+")
 
 
 def _text(text: str | Column) -> Column:
@@ -43,18 +53,34 @@ def query_terms(text: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+#: How a term's postings are kept: those of one part of the documents as lists side by side, in the order of the ids.
+PACKED = "term string, ids array<{id}>, dls array<long>, tfs array<long>"
+#: Documents, and bytes of their texts, whose postings are packed together.
+PACK_ROWS, PACK_BYTES = 4096, 8 << 20
+
+
 @dataclass
 class TextIndex:
-    """Derived tables of a corpus: postings (id, dl, term, tf), terms (term, df), and one row of totals (n, avgdl)."""
+    """Derived tables of a corpus: postings (id, dl, term, tf), terms (term, df), and one row of totals (n, avgdl).
+
+    Postings come from ``packed``, a row for each term and part of the documents.
+    """
 
-    postings: DataFrame
+    packed: DataFrame
     terms: DataFrame
     totals: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        each = self.packed.select("term", F.explode(F.arrays_zip("ids", "dls", "tfs")).alias("__p"))
+        return each.select(F.col("__p.ids").alias("id"), F.col("__p.dls").alias("dl"), "term", F.col("__p.tfs").alias("tf"))
+
     def write(self, path: str) -> None:
         """As Parquet; postings are clustered by term, so that a search reads few row groups."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.sort("term").write.mode("overwrite").parquet(f"{path}/terms")
+        self.packed.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        # What is counted from here on is read from the sorted table, where a term's rows lie together.
+        stored = TextIndex(self.packed.sparkSession.read.parquet(f"{path}/postings"), self.terms, self.totals)
+        _terms(stored.packed).sort("term").write.mode("overwrite").parquet(f"{path}/terms")
         self.totals.write.mode("overwrite").parquet(f"{path}/totals")
 
     @classmethod
@@ -62,13 +88,73 @@ class TextIndex:
         return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "totals")))
 
 
+def _terms(packed: DataFrame) -> DataFrame:
+    return packed.groupBy("term").agg(F.sum(F.size("ids").cast("long")).alias("df"))
+
+
+def pack(ids: pa.Array, texts: Sequence[str | None]) -> pa.Table:
+    """The postings of some documents, a row a term."""
+    docs: list[int] = []
+    words: list[bytes] = []
+    tfs: list[int] = []
+    lengths = np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        # Bytes: letters other than ASCII ones neither match nor turn into one that does.
+        found = _TOKEN.findall(text.encode().lower()) if text else []
+        if found:
+            count = Counter(found)
+            lengths[i] = len(found)
+            words += count
+            tfs += count.values()
+            docs += [i] * len(count)
+    doc, tf, coded = np.array(docs, np.int64), np.array(tfs, np.int64), pa.array(words, pa.binary()).dictionary_encode()
+    code = coded.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))]), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, v) for v in (ids.take(pa.array(doc[order])), pa.array(lengths[doc[order]]), pa.array(tf[order]))]
+    return pa.table([coded.dictionary.cast(pa.string()), *lists], names=["term", "ids", "dls", "tfs"])
+
+
 def text_index(df: DataFrame, id: str = "id", text: str = "text") -> TextIndex:
-    """Documents without a token are not counted. Postings are settled, since terms and every search read them."""
-    docs = df.select(F.col(id).alias("id"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("tk"))
-    words = docs.select("id", F.size("tk").alias("dl"), F.explode("tk").alias("word"))
-    postings = settled(words.groupBy("id", "dl", F.lower("word").alias("term")).agg(F.count("*").alias("tf")))
+    """Documents without a token are not counted. Packed postings are settled, since terms and every search read them.
+
+    A text is cut and counted where it is read: what is shuffled are lists, and only by ``write``. Where ids are repeated,
+    the words of equally long rows of an id are counted together, which takes a shuffle of all words.
+    """
+    docs = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
     totals = df.select(token_count(text).alias("dl")).filter("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return TextIndex(postings, postings.groupBy("term").agg(F.count("*").alias("df")), totals)
+    if docs.agg(F.count("*") > F.count_distinct(F.struct("id"))).first()[0]:
+        cut = docs.select("id", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("tk"))
+        words = cut.select("id", F.size("tk").cast("long").alias("dl"), F.explode("tk").alias("word"))
+        counts = words.groupBy("id", "dl", F.lower("word").alias("term")).agg(F.count("*").alias("tf"))
+        packed = settled(counts.select("term", F.array("id").alias("ids"), F.array("dl").alias("dls"), F.array("tf").alias("tfs")))
+        return TextIndex(packed, _terms(packed), totals)
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list = []
+        texts: list = []
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            out = pack(pa.array(ids, kind), texts)
+            ids.clear()
+            texts.clear()
+            yield from out.to_batches(max_chunksize=8192)
+
+        for batch in stream:
+            kind = batch.column(0).type
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(i)
+                texts.append(t)
+                held += len(t or "")
+                if len(ids) >= PACK_ROWS or held >= PACK_BYTES:
+                    yield from flush()
+                    held = 0
+        if ids:
+            yield from flush()
+
+    packed = settled(docs.mapInArrow(run, PACKED.format(id=docs.schema["id"].dataType.simpleString())))
+    return TextIndex(packed, _terms(packed), totals)
 
 
 def _score(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column) -> Column:
