@@ -204,6 +204,40 @@ def test_nearest_of_odd_rows_is_brute_force(metric):
         assert got[row == j].tolist() == ids[want].tolist() and d[row == j].tolist() == all_d[want].tolist()
 
 
+def test_join_looks_first_where_neighbours_are(monkeypatch):
+    """Queries begin with the cluster that is nearest to them, so few rows of the others and of their own are measured."""
+    import pyarrow as pa
+
+    rng, measured, near = np.random.default_rng(3), [], []
+    centres = rng.normal(size=(8, 16))
+    own = np.arange(64_000) % 8
+    x = (centres[own] + rng.normal(size=(len(own), 16))).astype(np.float32)
+    q = x[rng.permutation(len(x))[:400]] + np.float32(0.01)
+    vectors = lambda v: pa.array(list(v), pa.list_(pa.float32()))
+    own = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+    exact = index.exact
+    monkeypatch.setattr(index, "exact", lambda a, b, m: (measured.append(len(a)), exact(a, b, m))[1])
+    monkeypatch.setattr(index, "tiled", lambda held, asked, n, k, want, f: near.append(f))
+
+    class Any:
+        select = lambda self, *columns: self
+
+    index._join(Any(), Any(), None, 16, 10, search.Metric.L2, 0, centres, 8)
+    row, found, _, d = near[0](pa.table({"id": pa.array(np.arange(len(x))), "vector": vectors(x), "cluster": pa.array(own.astype(np.int32))}), pa.table({"query_id": pa.array(np.arange(400)), "query_vector": vectors(q)}))
+    every = search._round(np.sqrt(((x[None].astype(np.float64) - q[:5, None].astype(np.float64)) ** 2).sum(axis=2)))
+    assert row.tolist() == np.repeat(np.arange(400), 10).tolist()
+    for i in range(5):
+        best = np.lexsort((np.arange(len(x)), every[i]))[:10]
+        assert found[row == i].tolist() == best.tolist() and np.allclose(d[row == i], every[i, best])
+    assert sum(measured) < 50 * 400
+
+
+def test_every_tile_has_a_partition_of_its_own(spark):
+    for parts in (1, 12, 50):
+        keys = spark.createDataFrame([(k,) for k in search.spread(spark, parts)], "k int")
+        assert keys.repartition(parts, "k").select(F.spark_partition_id()).distinct().count() == parts
+
+
 def test_join_measures_few_of_many_copies(monkeypatch):
     """Pairs that are measured grow with the neighbours that are asked for, not with the copies of a row."""
     rng, measured = np.random.default_rng(7), []

@@ -384,12 +384,12 @@ def _join(rows: DataFrame, asked: DataFrame, codec: Codec | None, n: int, k: int
             cluster = np.sort(cluster)
         v, ids = v[kept], ids[kept]
         if cluster is None:
-            cuts, meets = [(0, len(v), 0)], None
+            cuts, turns = [(0, len(v), 0)], None
         else:
             begins = np.flatnonzero(np.diff(cluster, prepend=-1))
             cuts = list(zip(begins.tolist(), np.append(begins[1:], len(v)).tolist(), cluster[begins].tolist(), strict=True))
-            meets = np.zeros((len(asked), len(centroids)), bool)
-            np.put_along_axis(meets, _probes(centroids, asked, nprobe, metric), True, axis=1)
+            turns = np.full((len(asked), len(centroids)), -1, np.int32)
+            np.put_along_axis(turns, _probes(centroids, asked, nprobe, metric), np.arange(nprobe, dtype=np.int32)[None], axis=1)
         true = lambda c, r: exact(v[c].astype(np.float64), asked[r], name)
         codes = None if codec is None else np.frombuffer(b"".join(x.column("code").take(pa.array(kept)).to_pylist()), np.uint8).reshape(len(v), -1)
         if codes is None or sure:
@@ -398,9 +398,9 @@ def _join(rows: DataFrame, asked: DataFrame, codec: Codec | None, n: int, k: int
                 y = codec.decode(codes)
                 lost = np.sqrt(((v - y) ** 2).sum(axis=1)) * (1 + 1e-9) + 1e-12
                 levels = [Rough(y, (y * y).sum(axis=1), asked, (asked * asked).sum(axis=1), name, np.float32, lost), *levels]
-            row, place, d = closest(ids, len(asked), k, levels, true, cuts, meets)
+            row, place, d = closest(ids, len(asked), k, levels, true, cuts, turns)
             return row, ids[place], d, d
-        row, place, d = closest(ids, len(asked), want, *_estimated(codec, codes, asked, name), cuts, meets)
+        row, place, d = closest(ids, len(asked), want, *_estimated(codec, codes, asked, name), cuts, turns)
         return row, ids[place], d, _round(true(place, row)) if rescore else d
 
     held = rows.select("id", "vector", *(["code"] if codec is not None else []), *(["cluster"] if centroids is not None else []))

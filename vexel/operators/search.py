@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,23 +154,33 @@ def _round(d: np.ndarray) -> np.ndarray:
     return np.floor(d * 10**DIGITS + 0.5) / 10**DIGITS
 
 
-def closest(ids: np.ndarray, asked: int, k: int, levels: list[Rough], measure: Callable[[np.ndarray, np.ndarray], np.ndarray], cuts: Sequence[tuple[int, int, int]], meets: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def closest(ids: np.ndarray, asked: int, k: int, levels: list[Rough], measure: Callable[[np.ndarray, np.ndarray], np.ndarray], cuts: Sequence[tuple[int, int, int]], turns: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, place of a row, rounded distance) of the k nearest rows of each query, ties by id, query after query.
 
     Blocks of rows meet blocks of queries in matrix products, and only the pairs that can still be among the k nearest are
-    measured. A level that leaves many pairs is followed by the next one. ``cuts``: (begin, end, group) of rows; ``meets``:
-    whether a query meets a group.
+    measured. A level that leaves many pairs is followed by the next one. ``cuts``: (begin, end, group) of rows; ``turns``:
+    when a query meets a group, from 0, or -1 for never. Queries that begin with the same group go together, and its first rows bound
+    how far the nearest are, which rules out most of the rest.
     """
     out, levels = [], [x for x in levels if x.finite]
     pairs = max(1, (1 << 22) // max(1, levels[0].p if levels else 64))
+    own = None if turns is None else np.where(turns < 0, turns.shape[1], turns).argmin(axis=1)
+    line = np.arange(asked) if own is None else np.argsort(own, kind="stable")
     for begin in range(0, asked, CHUNK):
-        every = np.arange(begin, min(begin + CHUNK, asked))
+        every = line[begin : begin + CHUNK]
         limit = np.full(len(every), np.inf)
         held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         wait, waiting, turn, step = [held], 0, 0, 1
-        blocks = [(i, min(i + BLOCK, b), g) for a, b, g in cuts for i in range(a, b, BLOCK)]
+        late = None if turns is None else np.where(turns[every] < 0, turns.shape[1], turns[every]).sum(axis=0)
+        near = cuts if late is None else sorted(cuts, key=lambda c: late[c[2]])
+        for a, b, g in near if levels and own is not None else ():
+            sel, w = np.flatnonzero((own[every] == g) & (turns[every, g] >= 0)), min(b - a, BLOCK)
+            if len(sel) and w > k:
+                s = levels[-1].scores(a, a + w, every[sel], limit[sel])
+                limit[sel] = levels[-1].most(np.partition(s, w - k, axis=1)[:, w - k], every[sel])
+        blocks = [(i, min(i + BLOCK, b), g) for a, b, g in near for i in range(a, b, BLOCK)]
         for a, b, g in blocks:
-            sel = np.arange(len(every)) if meets is None else np.flatnonzero(meets[every, g])
+            sel = np.arange(len(every)) if turns is None else np.flatnonzero(turns[every, g] >= 0)
             if not len(sel):
                 continue
             new = sel[np.isinf(limit[sel])]
@@ -182,7 +192,7 @@ def closest(ids: np.ndarray, asked: int, k: int, levels: list[Rough], measure: C
             for level in list(levels):
                 mask = level.scores(a, b, every[sel], limit[sel]) >= level.least(limit[sel], every[sel])[:, None]
                 hit = _set(mask)
-                if len(hit) <= mask.size >> 4:
+                if len(hit) <= mask.size >> (6 if level.lost else 4):
                     break
                 if len(hit) > mask.size >> 1 and len(levels) > 1 and level is not levels[-1] and np.isfinite(limit[sel]).all():
                     levels.remove(level)  # it rules out too little here
@@ -191,11 +201,11 @@ def closest(ids: np.ndarray, asked: int, k: int, levels: list[Rough], measure: C
             for i in range(0, len(row), pairs):
                 r, c = row[i : i + pairs], place[i : i + pairs]
                 d = _round(measure(c, every[r]))
-                near = ~(d > limit[r] + SLACK)
-                wait.append((r[near], c[near], d[near]))
-                waiting += int(near.sum())
+                good = ~(d > limit[r] + SLACK)
+                wait.append((r[good], c[good], d[good]))
+                waiting += int(good.sum())
             turn += 1
-            if turn >= step or waiting > 8 * k * len(every):
+            if turn >= step or waiting > 2 * k * len(every):
                 held = tuple(map(np.concatenate, zip(*wait, strict=True)))
                 best = _first(k, held[0], held[2], ids[held[1]])
                 held = tuple(x[best] for x in held)
@@ -205,8 +215,14 @@ def closest(ids: np.ndarray, asked: int, k: int, levels: list[Rough], measure: C
                 limit[full] = np.fmin(limit[full], last)
         held = tuple(map(np.concatenate, zip(*wait, strict=True)))
         best = _first(k, held[0], held[2], ids[held[1]])
-        out.append((held[0][best] + begin, held[1][best], held[2][best]))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # type: ignore[return-value]
+        out.append((every[held[0][best]], held[1][best], held[2][best]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    row, place, d = (np.concatenate(c) for c in zip(*out, strict=True))
+    if turns is not None:
+        order = np.argsort(row, kind="stable")
+        row, place, d = row[order], place[order], d[order]
+    return row, place, d
 
 
 def exact_levels(x: np.ndarray, q: np.ndarray, metric: str) -> list[Rough]:
@@ -243,6 +259,16 @@ def _nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, metric: str)
     return row, ids[place], d
 
 
+def spread(spark: SparkSession, parts: int) -> list[int]:
+    """A key for each of ``parts`` partitions that Spark's hash sends there, so that no partition gets two keys while another has none."""
+    found, begin = {}, 0
+    while len(found) < parts:
+        end = begin + 16 * parts + 1000
+        found |= {r[1]: r[0] for r in spark.range(begin, end).select(F.col("id").cast("int"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts))).collect()}
+        begin = end
+    return [found[i] for i in range(parts)]
+
+
 def tiled(rows: DataFrame, asked: DataFrame, n: int, k: int, want: int, near: Callable[[pa.Table, pa.Table], tuple[np.ndarray, ...]], tiles: int | None = None) -> DataFrame:
     """(query_id, id, distance, rank): every bin of rows meets every bin of queries in one task.
 
@@ -254,8 +280,11 @@ def tiled(rows: DataFrame, asked: DataFrame, n: int, k: int, want: int, near: Ca
     there, many = rows.count(), asked.count()
     bins = tiles or max(1, -(-there * n // TILE))
     asks = tiles or max(-(-many * n // (TILE // 2)), min(-(-2 * cores // bins), many // 256), 1)
-    left = rows.withColumn("__at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(asks - 1)), lambda i: F.pmod(F.xxhash64("id"), F.lit(bins)).cast("int") * asks + i)))
-    right = asked.withColumn("__at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: i * asks + F.pmod(F.xxhash64("query_id"), F.lit(asks)).cast("int"))))
+    # One partition a tile, since a tile is much work whatever its bytes.
+    parts = bins * asks
+    keys = F.array(*map(F.lit, spread(rows.sparkSession, parts)))
+    left = rows.withColumn("__at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(asks - 1)), lambda i: keys[F.pmod(F.xxhash64("id"), F.lit(bins)).cast("int") * asks + i])))
+    right = asked.withColumn("__at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: keys[i * asks + F.pmod(F.xxhash64("query_id"), F.lit(asks)).cast("int")])))
 
     def tile(x: pa.Table, q: pa.Table) -> pa.Table:
         row, own, order, d = near(x, q) if len(x) and len(q) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
@@ -274,8 +303,6 @@ def tiled(rows: DataFrame, asked: DataFrame, n: int, k: int, want: int, near: Ca
         rank = np.arange(len(qid)) - np.searchsorted(qid, qid) + 1
         return pa.table({"query_id": qid, "id": own[first], "distance": d[first], "rank": rank.astype(np.int32)})
 
-    # One partition for about every second tile's place, set here since a tile is much work whatever its bytes.
-    parts = 2 * bins * asks
     packed = left.repartition(parts, "__at").groupBy("__at").cogroup(right.repartition(parts, "__at").groupBy("__at")).applyInArrow(tile, "query_id long, ids array<long>, orders array<double>, distances array<double>")
     groups = max(cores, -(-many * bins * want // (1 << 21)))
     return packed.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("__group")).applyInArrow(merged, "query_id long, id long, distance double, rank int")
