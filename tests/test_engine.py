@@ -204,7 +204,8 @@ def test_nearest_of_odd_rows_is_brute_force(metric):
         assert got[row == j].tolist() == ids[want].tolist() and d[row == j].tolist() == all_d[want].tolist()
 
 
-def test_join_looks_first_where_neighbours_are(monkeypatch):
+@pytest.mark.parametrize("bits", [None, 4])
+def test_join_looks_first_where_neighbours_are(monkeypatch, bits):
     """Queries begin with the cluster that is nearest to them, so few rows of the others and of their own are measured."""
     import pyarrow as pa
 
@@ -222,14 +223,16 @@ def test_join_looks_first_where_neighbours_are(monkeypatch):
     class Any:
         select = lambda self, *columns: self
 
-    index._join(Any(), Any(), None, 16, 10, search.Metric.L2, 0, centres, 8)
-    row, found, _, d = near[0](pa.table({"id": pa.array(np.arange(len(x))), "vector": vectors(x), "cluster": pa.array(own.astype(np.int32))}), pa.table({"query_id": pa.array(np.arange(400)), "query_vector": vectors(q)}))
+    codec = bits and index.RotationCodec(16, bits)
+    coded = {"code": pa.array([c.tobytes() for c in codec.encode(x.astype(np.float64))], pa.binary())} if codec else {}
+    index._join(Any(), Any(), codec, 16, 10, search.Metric.L2, 0, centres, 8, True)
+    row, found, _, d = near[0](pa.table({"id": pa.array(np.arange(len(x))), "vector": vectors(x), "cluster": pa.array(own.astype(np.int32)), **coded}), pa.table({"query_id": pa.array(np.arange(400)), "query_vector": vectors(q)}))
     every = search._round(np.sqrt(((x[None].astype(np.float64) - q[:5, None].astype(np.float64)) ** 2).sum(axis=2)))
     assert row.tolist() == np.repeat(np.arange(400), 10).tolist()
     for i in range(5):
         best = np.lexsort((np.arange(len(x)), every[i]))[:10]
         assert found[row == i].tolist() == best.tolist() and np.allclose(d[row == i], every[i, best])
-    assert sum(measured) < 50 * 400
+    assert sum(measured) < (200 if bits else 50) * 400
 
 
 def test_every_tile_has_a_partition_of_its_own(spark):
