@@ -31,6 +31,15 @@ def test_expiry_at_parts_of_a_second(name, same, tmp_path):
     same(queries.QUERIES[name], queries.SQL[name], str(tmp_path))
 
 
+@pytest.mark.parametrize("where", ["i % 12 in (0, 5)", "i % 4 = 1", "i < 0"])
+def test_compaction_of_shards_that_one_insert_or_none_has_filled(where, same, tmp_path):
+    import duckdb
+
+    begin = (queries.AS_OF - 86_400) * 1_000_000
+    duckdb.sql(f"copy (select i event_id, make_timestamp({begin} + (i - 40) * 1000000) ts, i % 7 user_id, 'click' event_type, 1.0::double \"value\", '{{\"k\": 1}}' props from range(80) t(i) where {where}) to '{tmp_path}/events.parquet'")
+    same(queries.QUERIES["compaction"], queries.SQL["compaction"], str(tmp_path))
+
+
 def test_approximate_search_finds_most_neighbours(spark):
     recalls = {r["name"]: r["recall"] for q in ("ivf_probe_recall", "turboquant_recall") for r in queries.QUERIES[q](spark, SF).collect()}
     assert recalls["ivf_flat"] >= 0.9 and recalls["turboquant_8"] >= 0.9

@@ -289,11 +289,14 @@ class Collection:
         return sum(r["count"] for r in lost)
 
     def compact(self, as_of: int | None = None) -> int:
-        """One folder for each shard that has several, without expired rows; how many shards were rewritten."""
-        m = self.manifest
+        """One folder for each shard, and no expired rows; how many shards were rewritten: those with several folders or with expired rows."""
+        m, now = self.manifest, self._now(as_of)
         many = [int(s) for s, ps in m["shards"].items() if len(ps) > 1]
+        single = [int(s) for s, ps in m["shards"].items() if len(ps) == 1]
+        if single:
+            many += self._touched(self._read(m, single).filter(F.col("expires_at") <= now), m)
         if many:
-            self._rewrite(m, many, lambda old: mutations.sweep(old, self._now(as_of)), T.StructType.fromJson(m["schema"]))
+            self._rewrite(m, many, lambda old: mutations.sweep(old, now), T.StructType.fromJson(m["schema"]))
         return len(many)
 
     def clean(self) -> int:

@@ -105,7 +105,7 @@ def compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     c.insert(rows.filter("id % 3 = 0"))
     c.insert(rows.filter("id % 3 <> 0"))
     c.compact()
-    most = max(len(p) for p in c.manifest["shards"].values())
+    most = max((len(p) for p in c.manifest["shards"].values()), default=0)
     c.clean()
     return c.rows().select(F.col("id").alias("seq"), F.col("user").alias("id"), F.lit(most).cast("long").alias("folders"))
 
