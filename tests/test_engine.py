@@ -260,6 +260,33 @@ def test_join_measures_few_of_many_copies(monkeypatch):
     assert sum(measured) < 600 * 400 and got[row == 7].tolist() == list(range(9000, 9010))
 
 
+@pytest.mark.parametrize("metric", ["l2", "inner_product", "cosine"])
+def test_join_measures_little_more_than_what_it_gives(monkeypatch, metric):
+    """Scores bound distances well enough that of the pairs on the way to the nearest few are measured."""
+    rng, measured = np.random.default_rng(10), []
+    x = rng.standard_normal((20_000, 16)).astype(np.float32)
+    exact = search.exact
+    monkeypatch.setattr(search, "exact", lambda a, b, m: (measured.append(len(a)), exact(a, b, m))[1])
+    search._nearest(x, np.arange(20_000), x[:300], 10, metric)
+    assert 300 * 10 <= sum(measured) < 300 * 12
+
+
+def test_codes_that_leave_many_pairs_are_put_aside():
+    """Where neighbours are nearer than what codes lose, a product with the codes is paid for in few blocks only."""
+    rng, scored = np.random.default_rng(11), []
+    x = (rng.standard_normal((12, 16))[rng.integers(0, 12, 40_000)] + 0.02 * rng.standard_normal((40_000, 16))).astype(np.float32)
+    q, codec = x[:500].astype(np.float64), index.RotationCodec(16, 4)
+    y = codec.decode(codec.encode(x.astype(np.float64)))
+    coded = search.Rough(y, (y * y).sum(axis=1), q, (q * q).sum(axis=1), "l2", np.float32, np.sqrt(((x - y) ** 2).sum(axis=1)) + 1e-9)
+    score = coded.scores
+    coded.scores = lambda begin, end, at, limit: (scored.append((end - begin) * len(at)), score(begin, end, at, limit))[1]
+    true = lambda c, r: search.exact(x[c].astype(np.float64), q[r], "l2")
+    row, place, d = search.closest(np.arange(40_000), 500, 10, [coded, *search.exact_levels(x, q, "l2")], true, [(0, 40_000, 0)])
+    assert 0 < sum(scored) < 40_000 * 500 // 4
+    want = search._nearest(x, np.arange(40_000), q, 10, "l2")
+    assert row.tolist() == want[0].tolist() and place.tolist() == want[1].tolist() and d.tolist() == want[2].tolist()
+
+
 def test_bins_of_a_join_are_bounded_whatever_the_cores(spark, monkeypatch):
     """Bins follow the rows: a join in many small bins has the rows of the join in one."""
     rows = queries.vectors(spark, SF)
