@@ -287,6 +287,17 @@ def test_codes_that_leave_many_pairs_are_put_aside():
     assert row.tolist() == want[0].tolist() and place.tolist() == want[1].tolist() and d.tolist() == want[2].tolist()
 
 
+@pytest.mark.parametrize("metric", ["l2", "inner_product", "cosine"])
+def test_estimates_of_ordinary_rows_need_single_precision_only(metric):
+    """As exact distances do: products in double precision are for rows that single can't tell apart."""
+    x = np.random.default_rng(12).standard_normal((3000, 16))
+    for scale, kinds in ((1, [np.float32]), (1e7, [np.float32, np.float64])):
+        moved = x * 1e-3 + scale if scale > 1 else x
+        codec = index.ScalarCodec(moved.min(axis=0), moved.max(axis=0))
+        assert metric == "cosine" or [v.kind for v in index._estimated(codec, codec.encode(moved), moved[:5], metric)[0]] == kinds
+    assert len(index._estimated(codec := index.ScalarCodec(x.min(axis=0), x.max(axis=0)), codec.encode(x), x[:5], metric)[0]) == 1
+
+
 def test_bins_of_a_join_are_bounded_whatever_the_cores(spark, monkeypatch):
     """Bins follow the rows: a join in many small bins has the rows of the join in one."""
     rows = queries.vectors(spark, SF)
