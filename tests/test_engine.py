@@ -298,6 +298,23 @@ def test_estimates_of_ordinary_rows_need_single_precision_only(metric):
     assert len(index._estimated(codec := index.ScalarCodec(x.min(axis=0), x.max(axis=0)), codec.encode(x), x[:5], metric)[0]) == 1
 
 
+@pytest.mark.parametrize("bits", [1, 2, 4, 8])
+@pytest.mark.parametrize("dimension", [2, 64])
+def test_codes_are_read_without_a_number_for_each_bit(bits, dimension):
+    import tracemalloc
+
+    codec = index.RotationCodec(dimension, bits)
+    codes = codec.encode(np.random.default_rng(13).standard_normal((20_000, dimension)))
+    tracemalloc.start()
+    got = codec._read(codes)[1]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = (codec.padded * bits + 7) // 8
+    bit = np.unpackbits(codes[:, 4 : 4 + n], axis=1)[:, : codec.padded * bits].reshape(len(codes), codec.padded, bits)
+    assert (got == codec.levels[bit @ (1 << np.arange(bits - 1, -1, -1))] / np.sqrt(codec.padded)).all()
+    assert dimension == 2 or most < 2 * 20_000 * dimension * 8
+
+
 def test_bins_of_a_join_are_bounded_whatever_the_cores(spark, monkeypatch):
     """Bins follow the rows: a join in many small bins has the rows of the join in one."""
     rows = queries.vectors(spark, SF)
