@@ -315,6 +315,16 @@ def test_codes_are_read_without_a_number_for_each_bit(bits, dimension):
     assert dimension == 2 or most < 2 * 20_000 * dimension * 8
 
 
+def test_tasks_of_a_join_have_bounded_pairs_whatever_the_cores(spark, monkeypatch):
+    rows, parts, spread = queries.vectors(spark, SF), [], search.spread
+    asked = rows.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    monkeypatch.setattr(search, "PAIRS", rows.count() * 50)
+    monkeypatch.setattr(search, "spread", lambda s, n: (parts.append(n), spread(s, n))[1])
+    got = search.knn_join(rows, asked, 5, "l2", sent=1)
+    assert parts == [-(-rows.count() // 50)]
+    assert sorted(map(tuple, got.select("query_id", "id", "distance", "rank").collect())) == sorted(map(tuple, search.knn_join(rows, asked, 5, "l2").select("query_id", "id", "distance", "rank").collect()))
+
+
 def test_bins_of_a_join_are_bounded_whatever_the_cores(spark, monkeypatch):
     """Bins follow the rows: a join in many small bins has the rows of the join in one."""
     rows = queries.vectors(spark, SF)
