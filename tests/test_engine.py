@@ -325,6 +325,52 @@ def test_tasks_of_a_join_have_bounded_pairs_whatever_the_cores(spark, monkeypatc
     assert sorted(map(tuple, got.select("query_id", "id", "distance", "rank").collect())) == sorted(map(tuple, search.knn_join(rows, asked, 5, "l2").select("query_id", "id", "distance", "rank").collect()))
 
 
+@pytest.mark.parametrize("metric", ["l2", "inner_product", "cosine"])
+def test_join_of_a_table_with_itself_is_the_join(spark, metric):
+    """In bins of rows, some of them with many copies and a zero row."""
+    rng = np.random.default_rng(14)
+    x = rng.standard_normal((700, 8)).astype(np.float32)
+    x[100:140], x[5] = x[1], 0
+    ids = rng.permutation(700)
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "id long, vector array<float>").cache()
+    want = search.knn_join(rows, rows.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector")), 5, metric)
+    for got in (search.knn_self_join(rows, 5, metric), search.knn_self_join(rows, 5, metric, sent=1), search.knn_self_join(rows, 5, metric, sent=1, tiles=4)):
+        assert sorted(map(tuple, got.select("query_id", "id", "distance", "rank").collect())) == sorted(map(tuple, want.select("query_id", "id", "distance", "rank").collect()))
+
+
+@pytest.mark.parametrize("metric", ["l2", "inner_product", "cosine"])
+def test_a_product_serves_both_rows_of_a_pair(monkeypatch, metric):
+    rng = np.random.default_rng(15)
+    x, y = rng.standard_normal((1500, 16)).astype(np.float32), rng.standard_normal((5000, 16)).astype(np.float32)
+    xids, yids = rng.permutation(1500), rng.permutation(5000) + 1500
+    y[:60] = x[:60]
+    want = search._nearest(y, yids, x, 10, metric), search._nearest(x, xids, y, 10, metric)
+    pairs, scores = [], search.Rough.scores
+    monkeypatch.setattr(search.Rough, "scores", lambda s, begin, end, at, limit: (pairs.append((end - begin) * len(at)), scores(s, begin, end, at, limit))[1])
+    got = search.mutual(x, xids, y, yids, 10, metric)
+    assert sum(pairs) == 1500 * 5000
+    for a, b in zip(got, want, strict=True):
+        assert sorted(zip(*map(np.ndarray.tolist, a), strict=True)) == sorted(zip(*map(np.ndarray.tolist, b), strict=True))
+
+
+def test_joins_of_all_embeddings_compute_a_product_once(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(search, "knn_self_join", lambda *a: (asked.append(a[1:]), a[0])[1])
+    for name in ("knn_join", "knn_join_ip", "knn_join_cosine"):
+        queries.QUERIES[name](spark, SF)
+    assert asked == [(10, "l2"), (10, "ip"), (10, "cosine")]
+
+
+def test_few_copies_of_each_row_are_kept_and_all_others():
+    x = np.repeat(np.arange(40, dtype=np.float32), 30)[:, None] * np.ones(3, np.float32)
+    ids = np.random.default_rng(16).permutation(len(x))
+    x = np.concatenate([x, [[0.5, 1, 2]]]).astype(np.float32)
+    ids = np.append(ids, len(ids))
+    want = sorted(i for v in np.unique(x, axis=0) for i in np.sort(ids[(x == v).all(axis=1)])[:4])
+    assert sorted(ids[search.few_copies(x, ids, 4)]) == want
+    assert sorted(ids[search.few_copies(x.astype(float), ids, 4)]) == want
+
+
 def test_bins_of_a_join_are_bounded_whatever_the_cores(spark, monkeypatch):
     """Bins follow the rows: a join in many small bins has the rows of the join in one."""
     rows = queries.vectors(spark, SF)

@@ -30,6 +30,8 @@ SLACK = 1.5 * 10.0**-DIGITS
 BLOCK, CHUNK, TILE = 4096, 512, 1 << 23
 #: Pairs of rows and queries that meet in one task of a join in tiles, about.
 PAIRS = 1 << 31
+#: Rows that are sent to a join's tasks as one value, at most.
+PACK = 1 << 14
 
 
 def live(df: DataFrame, as_of: int | None) -> DataFrame:
@@ -236,17 +238,23 @@ def closest(ids: np.ndarray, asked: int, k: int, levels: list[Rough], measure: C
                 limit[new] = levels[-1].most(np.partition(s, w - k, axis=1)[:, w - k], every[new])
             level, score, hit, before = None, None, None, 0
             for level in list(levels):
-                score = level.scores(a, b, every[sel], limit[sel])
-                mask = score >= level.least(limit[sel], every[sel])[:, None]
+                score, least = level.scores(a, b, every[sel], limit[sel]), level.least(limit[sel], every[sel])
+                # Most queries have no such row here; to find the largest score takes less than to compare all.
+                some = np.flatnonzero(~(score.max(axis=1) < least))
+                if 2 * len(some) < len(sel):
+                    score, least = score[some], least[some]
+                else:
+                    some = np.arange(len(sel))
+                mask = score >= least[:, None]
                 many = int(np.count_nonzero(mask))
                 if before > 2 * many:
                     levels.remove(last)  # it rules out too little here to be worth a product
-                if many <= mask.size >> (8 if level.lost else 4):
+                if many <= len(sel) * (b - a) >> (8 if level.lost else 4):
                     break
                 last, before = level, many
             hit = _set(mask) if levels else np.arange(len(sel) * (b - a))
             row, place = np.divmod(hit, b - a)
-            row, place = sel[row], place + a
+            row, place = sel[some[row]] if levels else sel[row], place + a
             if levels and not level.lost:
                 least, most = level.between(score.ravel()[hit], every[row])
                 new = (row, place, least, most, np.zeros(len(row), bool))
@@ -299,8 +307,20 @@ def exact_levels(x: np.ndarray, q: np.ndarray, metric: str) -> list[Rough]:
 def few_copies(x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the rows without those of which k copies have smaller ids."""
     whole = np.ascontiguousarray(x)
-    _, which = np.unique(whole.view(np.dtype((np.void, whole.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)
-    return np.sort(_first(k, which, ids))
+    # Rows that are alone with their hash have no copy; only the others are sorted.
+    words = whole.view(f"u{whole.dtype.itemsize}")
+    odd = np.random.default_rng(0).integers(1 << 63, size=words.shape[1], dtype=np.uint64) << 1 | 1
+    hashes = np.zeros(len(whole), np.uint64)
+    for i in range(0, len(whole), BLOCK):
+        part = words[i : i + BLOCK] * odd
+        hashes[i : i + BLOCK] = (part ^ part >> 32).sum(axis=1, dtype=np.uint64)
+    _, at, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    more = count[at] > k
+    some = np.flatnonzero(more)
+    if not len(some):
+        return np.arange(len(whole))
+    _, which = np.unique(whole[some].view(np.dtype((np.void, whole.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)
+    return np.sort(np.concatenate([np.flatnonzero(~more), some[_first(k, which, ids[some])]]))
 
 
 def _nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -313,6 +333,99 @@ def _nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, metric: str)
     return row, ids[place], d
 
 
+def _both(x: np.ndarray, y: np.ndarray, metric: str) -> tuple[Rough, Rough] | None:
+    """Scores of x asking for y and of y asking for x that are the same products; none where single precision or a zero row forbids it."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        mid = (x.sum(axis=0, dtype=np.float64) + y.sum(axis=0, dtype=np.float64)) / (len(x) + len(y)) if metric == "l2" else 0.0
+        x, y = x.astype(np.float64) - mid, y.astype(np.float64) - mid
+        squares = (x * x).sum(axis=1), (y * y).sum(axis=1)
+        if not all(np.isfinite(s).all() and (metric != "cosine" or (np.sqrt(s) >= ZERO_NORM).all()) for s in squares):
+            return None
+        out = Rough(y, squares[1], x, squares[0], metric, np.float32), Rough(x, squares[0], y, squares[1], metric, np.float32)
+        for r in out:
+            if metric == "l2":
+                # With the query's own square in it, a score is half the squared distance, negated, from either side.
+                r.q, r.x = np.column_stack([r.q, (-r.qq / 2).astype(np.float32)]), np.column_stack([r.x, np.ones(len(r.x), np.float32)])
+                r.own = np.sqrt((r.q.astype(np.float64) ** 2).sum(axis=1))
+                r.long = float(np.sqrt((r.x.astype(np.float64) ** 2).sum(axis=1).max())) * 2 * (r.p + 9) * float(np.finfo(np.float32).eps)
+                r.finite = bool(r.finite and np.isfinite(r.long) and np.isfinite(r.q).all())
+                r.qq = np.zeros(len(r.qq))
+            if not r.finite or not r.long * max(1.0, float(r.own.max())) < 1e-3 * max(1e-9, float(np.median(np.concatenate(squares))) if metric == "l2" else 1.0):
+                return None
+    return out
+
+
+def _at_least(score: np.ndarray, k: int, axis: int) -> np.ndarray:
+    """A score that k of a row, or of a column, reach: the least of the largest of k parts."""
+    g = score.shape[axis] // k
+    if axis:
+        return score[:, : g * k].reshape(len(score), k, g).max(axis=2).min(axis=1)
+    return score[: g * k].reshape(k, g, -1).max(axis=1).min(axis=0)
+
+
+class _Held:
+    """Pairs of queries that wait to be compared, and how far the k nearest of each query can be."""
+
+    def __init__(self, rough: Rough, every: np.ndarray, k: int, ids: np.ndarray, measure: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+        self.rough, self.every, self.k, self.ids, self.measure = rough, every, k, ids, measure
+        self.limit, self.pairs = np.full(len(every), np.inf), max(1, (1 << 22) // max(1, rough.p))
+        self.wait: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, bool))]
+        self.waiting, self.turn, self.step = 0, 0, 1
+
+    def add(self, row: np.ndarray, place: np.ndarray, score: np.ndarray) -> None:
+        self.wait.append((row, place, *self.rough.between(score, self.every[row]), np.zeros(len(row), bool)))
+        self.waiting += len(row)
+
+    def look(self, turn: bool = True) -> None:
+        self.turn += turn
+        if (turn and self.turn >= self.step) or self.waiting > 2 * self.k * len(self.every):
+            held = _possible(self.wait, self.k, self.limit)
+            if len(held[0]) > 4 * self.k * len(self.every):
+                held = _possible([_settled(held, self.k, self.ids, self.every, self.measure, self.pairs)], self.k, self.limit)
+            self.wait, self.waiting, self.step = [held], 0, max(self.step, 2 * self.turn)
+
+    def end(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        held = _settled(_possible(self.wait, self.k, self.limit), self.k, self.ids, self.every, self.measure, self.pairs)
+        return self.every[held[0]], held[1], held[3]
+
+
+def mutual(x: np.ndarray, xids: np.ndarray, y: np.ndarray, yids: np.ndarray, k: int, metric: str) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """``_nearest`` of y for each row of x and of x for each row of y, from one product for each pair."""
+    both = _both(x, y, metric) if len(few_copies(x, xids, k)) == len(x) and len(few_copies(y, yids, k)) == len(y) else None
+    if both is None:
+        return _nearest(y, yids, x, k, metric), _nearest(x, xids, y, k, metric)
+    wide = lambda a: a.astype(np.float64)
+    there = _Held(both[1], np.arange(len(y)), k, xids, lambda c, r: exact(wide(x[c]), wide(y[r]), metric))
+    out = []
+    for begin in range(0, len(x), CHUNK):
+        every = np.arange(begin, min(begin + CHUNK, len(x)))
+        here = _Held(both[0], every, k, yids, lambda c, r: exact(wide(y[c]), wide(x[r]), metric))
+        for a in range(0, len(y), BLOCK):
+            b = min(a + BLOCK, len(y))
+            score, asked = both[0].scores(a, b, every, here.limit), np.arange(a, b)
+            if not a and b - a >= k:
+                here.limit = both[0].most(_at_least(score, k, 1), every)
+            if not begin and len(every) >= k:
+                there.limit[a:b] = both[1].most(_at_least(score, k, 0), asked)
+            # Few rows of x have such a row of y here; to find the largest score takes less than to compare all.
+            least = both[0].least(here.limit, every)
+            some = np.flatnonzero(~(score.max(axis=1) < least))
+            part = score[some]
+            hit = _set(part >= least[some][:, None])
+            row, place = np.divmod(hit, b - a)
+            here.add(some[row], place + a, part.ravel()[hit])
+            hit = _set(score >= both[1].least(there.limit[a:b], asked)[None])
+            row, place = np.divmod(hit, b - a)
+            there.add(place + a, row + begin, score.ravel()[hit])
+            here.look()
+            there.look(False)
+        out.append(here.end())
+        there.look()
+    row, place, d = (np.concatenate(c) for c in zip(*out, strict=True))
+    back, of, far = there.end()
+    return (row, yids[place], d), (back, xids[of], far)
+
+
 def spread(spark: SparkSession, parts: int) -> list[int]:
     """A key for each of ``parts`` partitions that Spark's hash sends there, so that no partition gets two keys while another has none."""
     found, begin = {}, 0
@@ -323,6 +436,47 @@ def spread(spark: SparkSession, parts: int) -> list[int]:
     return [found[i] for i in range(parts)]
 
 
+def _packed(part: pa.RecordBatch | pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, part.schema) as out:
+        out.write(part)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(blocks: pa.ChunkedArray) -> pa.Table | None:
+    parts = [pa.ipc.open_stream(b.as_buffer()).read_all() for b in blocks]
+    return pa.concat_tables(parts) if parts else None
+
+
+def packs(df: DataFrame, key: str, bins: int, width: int) -> DataFrame:
+    """(bin, block): the rows of ``df`` by bin of the hash of their key, many to a block, so that sending one costs next to nothing whatever it has."""
+    most = max(1, min(PACK, (1 << 20) // max(1, width)))
+
+    def blocks(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        own, table = table.column("__bin").to_numpy(), table.drop_columns("__bin")
+        order = np.argsort(own, kind="stable")
+        begins = np.flatnonzero(np.diff(own[order], prepend=-1))
+        for i, j in zip(begins, np.append(begins[1:], len(order)), strict=True):
+            for a in range(i, j, most):
+                block = _packed(table.take(pa.array(order[a : min(a + most, j)])))
+                yield pa.RecordBatch.from_arrays([pa.array(own[order[a : a + 1]], pa.int32()), pa.array([block], pa.binary())], names=["bin", "block"])
+
+    def pack(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in stream:
+            if batch.num_rows:
+                held.append(batch)
+                count += batch.num_rows
+            if count >= 4 * most:
+                yield from blocks(held)
+                held, count = [], 0
+        if held:
+            yield from blocks(held)
+
+    return df.withColumn("__bin", F.pmod(F.xxhash64(key), F.lit(bins)).cast("int")).mapInArrow(pack, "bin int, block binary")
+
+
 def tiled(rows: DataFrame, asked: DataFrame, n: int, k: int, want: int, near: Callable[[pa.Table, pa.Table], tuple[np.ndarray, ...]], tiles: int | None = None) -> DataFrame:
     """(query_id, id, distance, rank): every bin of rows meets every bin of queries in one task.
 
@@ -398,6 +552,62 @@ def knn_join(base: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K, metric
     return ranked(found, "query_id", k)
 
 
+def knn_self_join(base: DataFrame, k: int = DEFAULT_TOP_K, metric: Metric | str = Metric.L2, id: str = "id", vector: str = "vector", sent: int = SENT_QUERIES, tiles: int | None = None) -> DataFrame:
+    """``knn_join`` of a table with itself, with half its products: a product serves both rows of a pair.
+
+    A task has two bins of rows, each of about half of TILE numbers at most, and about PAIRS pairs. A bin goes to as many
+    tasks as there are bins; the k nearest of each row and bin are sent in blocks for the final rank.
+    """
+    check_top_k(k)
+    metric = Metric.of(metric).value
+    rows = base.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vector"))
+    there = rows.count()
+    if there <= sent:
+        return knn_join(rows, rows.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector")), k, metric, sent=sent)
+    n, cores = len(rows.select("vector").first()[0]), rows.sparkSession.sparkContext.defaultParallelism
+    # For two tasks a core, as far as bins keep 256 rows.
+    few = next(m for m in range(1, 4 * cores + 2) if m * (m + 1) >= 4 * cores)
+    bins = tiles or max(-(-there * n // (TILE // 2)), int(np.ceil(there / np.sqrt(PAIRS))), min(few, there // 256), 1)
+    parts = bins * (bins + 1) // 2
+    keys = F.array(*map(F.lit, spread(rows.sparkSession, parts)))
+    groups = -(-there * k // (1 << 21))
+    low, high = F.least("bin", "other"), F.greatest("bin", "other")
+    at = keys[low * bins - F.shiftright(low * (low - 1), 1) + high - low]
+    # Blocks are dealt out before they are copied, since a small table is read by few tasks.
+    blocks = packs(rows, "id", bins, n).repartition(cores).select("bin", "block", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("other")).withColumn("__at", at)
+
+    def tile(got: pa.Table) -> pa.Table:
+        own, other = (got.column(c).to_numpy() for c in ("bin", "other"))
+        first, found = min(own[0], other[0]), []
+        x, y = (_unpacked(got.column("block").filter(pa.array(own == b))) for b in (first, max(own[0], other[0])))
+        if x is not None and y is not None:
+            xs, xids = _values(x.column("vector"), n), x.column("id").to_numpy()
+            if own[0] == other[0]:
+                found = [(own[0], xids, _nearest(xs, xids, xs, k, metric))]
+            else:
+                yids = y.column("id").to_numpy()
+                a, b = mutual(xs, xids, _values(y.column("vector"), n), yids, k, metric)
+                found = [(first, xids, a), (max(own[0], other[0]), yids, b)]
+        out = []
+        for b, ids, (row, near, d) in found:
+            qid = ids[row]
+            group = (qid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % groups
+            part = pa.table({"query_id": qid, "id": near, "distance": d})
+            out += [(int(b) * groups + int(g), _packed(part.filter(pa.array(group == g)))) for g in np.unique(group)]
+        return pa.table({"__group": pa.array([g for g, _ in out], pa.int64()), "block": pa.array([b for _, b in out], pa.binary())})
+
+    def merged(got: pa.Table) -> pa.Table:
+        qid, own, d = (c.to_numpy() for c in _unpacked(got.column("block")).columns)
+        first = _first(k, qid, d, own)
+        qid = qid[first]
+        rank = np.arange(len(qid)) - np.searchsorted(qid, qid) + 1
+        return pa.table({"query_id": qid, "id": own[first], "distance": d[first], "rank": rank.astype(np.int32)})
+
+    # One partition a tile, since a tile is much work whatever its bytes.
+    packed = blocks.repartition(parts, "__at").groupBy("__at").applyInArrow(tile, "__group long, block binary")
+    return packed.groupBy("__group").applyInArrow(merged, "query_id long, id long, distance double, rank int")
+
+
 def ranked(found: DataFrame, by: str, k: int) -> DataFrame:
     w = Window.partitionBy(by).orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
